@@ -69,7 +69,7 @@ ANNOTATIONS = f"""annotations AS (
          o_orderstatus <> 'P' AS is_substantive,
          CASE WHEN o_orderstatus <> 'P' THEN p_type END AS reception_reason,
          p_name AS consolidated_tag, 'because ' || p_brand AS cluster_explanation,
-         p_size::INTEGER AS cluster_id
+         p_size::INTEGER AS cluster_id, NULL::FLOAT[] AS embedding
   FROM orders JOIN part ON o_custkey = p_partkey
   UNION ALL
   SELECT {comment_id()} AS item_id, 'comment' AS item_type,
@@ -79,7 +79,7 @@ ANNOTATIONS = f"""annotations AS (
          CASE WHEN l_tax = 0.0 THEN NULL WHEN l_linenumber = 7 THEN p_name || chr(9) ELSE p_name END
            AS consolidated_tag,
          CASE WHEN l_tax <> 0.01 THEN 'because ' || p_brand END AS cluster_explanation,
-         CASE WHEN l_tax = 0.0 THEN NULL ELSE p_size END::INTEGER AS cluster_id
+         CASE WHEN l_tax = 0.0 THEN NULL ELSE p_size END::INTEGER AS cluster_id, NULL::FLOAT[] AS embedding
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 THEME_ROWS = """theme_rows AS (
@@ -95,3 +95,25 @@ CHART_ROWS = f"""chart_rows AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+ANN_COLS = ("item_id, item_type, sentiment, summary, raw_tag, is_substantive, reception_reason, "
+            "consolidated_tag, cluster_explanation, cluster_id, embedding")
+POST_COLS = "id, subreddit, title, selftext, score, created_utc, status"
+COMMENT_COLS = "id, post_id, body, score, created_utc, status"
+
+
+def strip_ws(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}|{_WS}$', '', 'g')"
+
+
+def snippet(x: str) -> str:
+    return (f"CASE WHEN length({x}) > 45 THEN substr(replace({x}, chr(10), ' '), 1, 45) || '...' "
+            f"ELSE replace({x}, chr(10), ' ') END")
+
+
+def tag_display(a: str = "a") -> str:
+    q = "''''"
+    return (f"CASE WHEN coalesce({a}.consolidated_tag, '') <> '' THEN {q} || {a}.consolidated_tag || {q} "
+            f"WHEN {a}.item_id IS NOT NULL THEN 'raw: ' || {q} || coalesce({a}.raw_tag, 'None') || {q} "
+            f"ELSE 'None' END")

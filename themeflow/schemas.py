@@ -37,7 +37,10 @@ EXPLANATION_WITH_SUMMARY = "This cluster is labeled '{label}' because representa
 EXPLANATION_WITHOUT_SUMMARY = "This cluster is labeled '{label}' based on the representative raw tags in the cluster."
 EXPLANATION_NO_CLUSTERS = ("HDBSCAN found no stable clusters, so this item keeps its strongest available "
                            "reception reason: {label}.")
-BULK_SUMMARY = "Manually annotated in bulk."
+BULK_NEW_SUMMARY = "Bulk manually annotated"
+BULK_EDIT_SUMMARY = "Bulk manually edited"
+SINGLE_NEW_SUMMARY = "Manually annotated"
+SINGLE_EDIT_SUMMARY = "Manually edited"
 EMBEDDING_TEXT = "Reception Reason: {reason} | Raw Tag: {tag} | Summary: {summary}"
 LABEL_LINE = "- Reception Reason: '{reason}' | Raw Tag: '{tag}' | Summary: '{summary}'"
 DEFAULT_POST_LIMIT = 50
