@@ -131,7 +131,8 @@ def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw post candidates of the ingest jobs: one per conversation (turn 0).
 
     ``query_id`` = role of the opening turn, ``rank`` = conversation id (the
-    search order), ``author`` = role, where system turns play the moderator."""
+    search order), ``author`` = role, where system turns play the moderator,
+    ``score`` = text length."""
     cv = table(spark, sf_dir, "conversations").filter(F.col("turn") == 0)
     return cv.select(
         F.col("role").alias("query_id"),
@@ -141,7 +142,7 @@ def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("title"),
         F.col("text").alias("selftext"),
         F.when(F.col("role") == "system", F.lit("AutoModerator")).otherwise(F.col("role")).alias("author"),
-        F.col("turn").cast("long").alias("score"),
+        F.length("text").cast("long").alias("score"),
         F.col("conv_id").cast("double").alias("created_utc"),
     )
 
@@ -161,6 +162,13 @@ def conversation_comment_candidates(spark: SparkSession, sf_dir: str) -> DataFra
     )
 
 
+def conversation_stored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts "stored by an earlier run": conversations with more than three turns."""
+    cv = table(spark, sf_dir, "conversations")
+    return (cv.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 3)
+            .select(F.concat(F.lit("c"), _s("conv_id")).alias("id")))
+
+
 # ----------------------------------------------------------------- events
 
 def event_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
