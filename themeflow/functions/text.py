@@ -93,14 +93,15 @@ def strip_fence(c) -> Column:
 
     If the stripped text starts with three backticks, its first line goes, and
     its last line goes when that line starts with three backticks too. A fenced
-    text of a single line has nothing left after the first line: null, which
-    callers treat as a parse failure."""
-    t = strip_space(_col(c))
-    fenced = t.startswith("```")
-    # text after the first newline; none when the fence is the only line
-    rest = F.when(F.instr(t, "\n") > 0, F.substring(t, F.instr(t, "\n") + 1, F.length(t)))
-    without_last = F.regexp_replace(rest, r"(?s)(\A|\n)```[^\n]*\z", "")
-    return F.when(fenced, strip_space(without_last)).otherwise(t)
+    text of a single line has nothing after the first line: null, which
+    callers treat as a parse failure. The text is bound once in a lambda so
+    the expression does not repeat it."""
+    def body(t: Column) -> Column:
+        rest = F.regexp_extract(t, r"(?s)\A```[^\n]*\n(.*)\z", 1)
+        inner = strip_space(F.regexp_replace(rest, r"(?s)(\A|\n)```[^\n]*\z", ""))
+        return (F.when(~t.startswith("```"), t)
+                .when(F.instr(t, "\n") > 0, inner))
+    return F.transform(F.array(strip_space(_col(c))), body)[0]
 
 
 def trimmed_concat(*cols, sep: str = " ") -> Column:

@@ -58,15 +58,18 @@ def apply_annotation_results(items: DataFrame, annotations: DataFrame, results:
     ``results`` has ``item_id``, the annotation columns and ``error``. A row
     without error upserts its annotation and marks the item ``processed``; a
     row with error marks the item ``failed`` and leaves its annotation alone.
-    Results for unknown items still upsert their annotation."""
-    ok = results.filter(F.col("error").isNull())
-    new_ann = upsert(annotations, ok.select(*[c for c in annotations.columns if c in ok.columns]
-                                            + [F.lit(None).cast(annotations.schema[c].dataType).alias(c)
-                                               for c in annotations.columns if c not in ok.columns]),
-                     "item_id")
-    verdict = (last_per_key(results.select("item_id", "error"), "item_id")
-               .select(F.col("item_id").alias("id"),
-                       F.when(F.col("error").isNull(), "processed").otherwise("failed").alias("__status")))
+    Results for unknown items still upsert their annotation.
+
+    Results are first reduced to one row per item (an aggregate). The error
+    test then runs on the aggregate's output, which also stops Catalyst from
+    pushing it into the response parsing below."""
+    res = last_per_key(results, "item_id")
+    ok = res.filter(F.col("error").isNull())
+    upd = ok.select(*[F.col(c) if c in ok.columns else F.lit(None).cast(annotations.schema[c].dataType).alias(c)
+                      for c in annotations.columns])
+    new_ann = upsert(annotations, upd, "item_id")
+    verdict = res.select(F.col("item_id").alias("id"),
+                         F.when(F.col("error").isNull(), "processed").otherwise("failed").alias("__status"))
     new_items = (items.join(verdict, "id", "left")
                  .withColumn("status", F.coalesce(F.col("__status"), F.col("status")))
                  .drop("__status").select(*items.columns))

@@ -4,4 +4,5 @@ from themeflow.plans import reports  # noqa: F401
 from themeflow.plans import maintenance  # noqa: F401
 from themeflow.plans import listings  # noqa: F401
 from themeflow.plans import ingestion  # noqa: F401
+from themeflow.plans import annotation  # noqa: F401
 from themeflow.plans.registry import REGISTRY  # noqa: F401
