@@ -124,8 +124,12 @@ def vector_to_json(c) -> Column:
 
 
 def epoch_seconds(ts) -> Column:
-    """Timestamp -> epoch seconds as double (UTC session time zone)."""
-    return F.unix_micros(_col(ts).cast("timestamp")).cast("double") / F.lit(1_000_000.0)
+    """Wall-clock timestamp (parquet TIMESTAMP without zone, read as
+    TIMESTAMP_NTZ) -> epoch seconds as double, read as UTC whatever the
+    session time zone is."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                              _col(ts).cast("timestamp_ntz"))
+    return micros.cast("double") / F.lit(1_000_000.0)
 
 
 def nocase(c) -> Column:

@@ -215,3 +215,18 @@ def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("embedding"),
         F.when(F.col("vec_id") % 7 == 0, F.lit(-1)).otherwise(F.col("label")).cast("int").alias("cluster_id"),
     )
+
+
+def vector_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as substantive annotations: texts from the document with the
+    same id (left join; vectors without a document keep null texts)."""
+    v = vector_table(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    j = v.join(d, v.vec_id == d.doc_id, "left")
+    return j.select(
+        "item_id", "vec_id", "embedding", "cluster_id",
+        F.col("source").alias("reception_reason"),
+        F.coalesce(F.col("lang"), F.lit("unlabelled")).alias("raw_tag"),
+        F.col("text").alias("summary"),
+        F.lit(True).alias("is_substantive"),
+    )
