@@ -16,7 +16,7 @@ COMMENT_LIMIT = 3
 CANDS = """cands AS (
   SELECT role AS query_id, conv_id AS rank, 'c' || conv_id::VARCHAR AS id, role AS subreddit, text AS title,
          text AS selftext, CASE WHEN role = 'system' THEN 'AutoModerator' ELSE role END AS author,
-         length(text)::BIGINT AS score, conv_id::DOUBLE AS created_utc
+         length(text)::BIGINT AS score, (1700000000 + conv_id * 60)::DOUBLE AS created_utc
   FROM conversations WHERE turn = 0)"""
 STORED = """stored AS (
   SELECT 'c' || conv_id::VARCHAR AS id FROM conversations GROUP BY conv_id HAVING count(*) > 3)"""
@@ -73,7 +73,7 @@ def q_ingest_posts_page(spark, sf):
 @query("ingest_comments", Q.with_(*_kept_sql("rank, id"), f"""cc AS (
   SELECT 'c' || conv_id::VARCHAR AS post_id, turn AS pos, 'c' || conv_id::VARCHAR || '-' || turn::VARCHAR AS id,
          text AS body, CASE WHEN role = 'system' THEN 'AutoModerator' ELSE role END AS author,
-         turn::BIGINT AS score, (conv_id * 1000 + turn)::DOUBLE AS created_utc
+         turn::BIGINT AS score, (1700000000 + conv_id * 60 + turn)::DOUBLE AS created_utc
   FROM conversations WHERE turn > 0)""", f"""capped AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY pos, id) AS rn FROM cc
                  WHERE post_id IN (SELECT id FROM kept)) WHERE rn <= {COMMENT_LIMIT})""") + f"""

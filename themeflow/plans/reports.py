@@ -149,3 +149,22 @@ def q_unmapped_raw_tags(spark, sf):
        "AND consolidated_tag IS NOT NULL AND consolidated_tag <> ''")
 def q_consolidated_tags(spark, sf):
     return ST.consolidated_tags(_ann(spark, sf), "comment")
+
+
+@query("dominance_summary_markdown", Q.with_(Q.ANNOTATIONS, Q.THEME_ROWS, f"""t AS (
+  SELECT {Q.clean_text('consolidated_tag', S.UNCLUSTERED)} AS tag,
+         {Q.clean_text('cluster_explanation')} AS expl FROM theme_rows)""", """c AS (
+  SELECT tag, count(*) AS n FROM t GROUP BY tag)""", """e AS (
+  SELECT tag, expl, count(*) AS m FROM t WHERE expl <> '' GROUP BY tag, expl)""", """mode AS (
+  SELECT tag, arg_min(expl, (-m, expl)) AS expl FROM e GROUP BY tag)""", """s AS (
+  SELECT c.tag, c.n, round_even(c.n / sum(c.n) OVER () * 100, 1)::DOUBLE AS pct, coalesce(mode.expl, '') AS expl
+  FROM c LEFT JOIN mode ON c.tag = mode.tag)""") + """
+SELECT 1::BIGINT AS line_no, '| Consolidated tag | Cluster dominance percentage | Consolidated tag explanation |' AS value
+UNION ALL SELECT 2, '|---|---:|---|'
+UNION ALL
+SELECT (row_number() OVER (ORDER BY n DESC, lower(tag), tag) + 2)::BIGINT,
+       '| ' || replace(tag, '|', '\\|') || ' | ' || format('{:.1f}', pct) || '% | ' || replace(expl, '|', '\\|') || ' |'
+FROM s""")
+def q_markdown(spark, sf):
+    from themeflow.sources.sinks import summary_markdown_lines
+    return summary_markdown_lines(TH.dominance_summary(_ann(spark, sf)))

@@ -132,7 +132,7 @@ def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``query_id`` = role of the opening turn, ``rank`` = conversation id (the
     search order), ``author`` = role, where system turns play the moderator,
-    ``score`` = text length."""
+    ``score`` = text length, one minute between conversations from Nov 2023."""
     cv = table(spark, sf_dir, "conversations").filter(F.col("turn") == 0)
     return cv.select(
         F.col("role").alias("query_id"),
@@ -143,7 +143,7 @@ def conversation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("selftext"),
         F.when(F.col("role") == "system", F.lit("AutoModerator")).otherwise(F.col("role")).alias("author"),
         F.length("text").cast("long").alias("score"),
-        F.col("conv_id").cast("double").alias("created_utc"),
+        (F.lit(1_700_000_000) + F.col("conv_id") * 60).cast("double").alias("created_utc"),
     )
 
 
@@ -158,7 +158,7 @@ def conversation_comment_candidates(spark: SparkSession, sf_dir: str) -> DataFra
         F.col("text").alias("body"),
         F.when(F.col("role") == "system", F.lit("AutoModerator")).otherwise(F.col("role")).alias("author"),
         F.col("turn").cast("long").alias("score"),
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("double").alias("created_utc"),
+        (F.lit(1_700_000_000) + F.col("conv_id") * 60 + F.col("turn")).cast("double").alias("created_utc"),
     )
 
 
