@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from themeflow.session import cut_lineage
+from themeflow.session import materialize
 
 _PID, _MID = "__pid", "__mid"
 
@@ -24,7 +24,7 @@ def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataF
              .withColumn(_MID, F.monotonically_increasing_id()))
     # Materialise once: the partition numbers and local positions must be the
     # same in both uses below, also after an executor loss.
-    return cut_lineage(local)
+    return materialize(local, "ranged")
 
 
 def _offsets(local: DataFrame, value: Column, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     unlike a local checkpoint, and bounds the plan of iterative jobs."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint folder and read
+    it back. Cuts lineage like ``checkpoint()``, computes the frame once,
+    and the read-back frame has statistics from its real file size (a
+    checkpointed frame keeps the estimates of its old plan, which in an
+    iterative self-join grow without bound)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
