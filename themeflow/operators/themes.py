@@ -17,6 +17,7 @@ from themeflow.functions.text import (clean_label, clean_text, percent_1dp, sent
                                       sentiment_label)
 from themeflow.operators.filters import chart_theme_rows, theme_rows
 from themeflow.operators.ordering import with_running_sum
+from themeflow.session import materialize
 
 
 def theme_order(count_col: str, theme_col: str) -> list[Column]:
@@ -37,6 +38,17 @@ def _rank_and_accumulate(counts: DataFrame, count_col: str, theme_col: str, top_
     return with_running_sum(counts, count_col, order, cum_col, index_name=rank_col)
 
 
+def _total(counts: DataFrame, col: str, name: str) -> DataFrame:
+    """One-row grand total of a per-theme frame."""
+    return counts.agg(F.sum(col).alias(name))
+
+
+def _once(counts: DataFrame) -> DataFrame:
+    """The per-theme frame feeds both the ranking and the grand total; write
+    it once (theme-sized) so the item-sized input is scanned once, not twice."""
+    return materialize(counts, "theme-counts")
+
+
 def pareto(ann: DataFrame, top_n: int | None = S.DEFAULT_TOP_N, include_reaction_only: bool = False,
            include_unclustered: bool = False) -> DataFrame:
     """Pareto table of themes.
@@ -50,7 +62,8 @@ def pareto(ann: DataFrame, top_n: int | None = S.DEFAULT_TOP_N, include_reaction
         F.count_if(F.col("item_type") == "post").alias("post_items"),
         F.count_if(F.col("item_type") == "comment").alias("comment_items"),
     )
-    total = counts.agg(F.sum("items_in_theme").alias("total_clustered_items"))
+    counts = _once(counts)
+    total = _total(counts, "items_in_theme", "total_clustered_items")
     ranked = _rank_and_accumulate(counts, "items_in_theme", "__tag", top_n, "rank", "cumulative_items")
     out = ranked.crossJoin(F.broadcast(total))  # one row
     share = F.col("items_in_theme") / F.col("total_clustered_items") * 100
@@ -84,7 +97,8 @@ def dominance_summary(ann: DataFrame, include_reaction_only: bool = False,
                  F.when(F.col("__expl") != "", F.struct((-F.col("__n")).alias("n"), F.col("__expl").alias("e"))))
         .alias("__mode"),
     )
-    total = per_tag.agg(F.sum("__count").alias("__total"))
+    per_tag = _once(per_tag)
+    total = _total(per_tag, "__count", "__total")
     out = per_tag.crossJoin(F.broadcast(total))
     return out.select(
         "consolidated_tag",
@@ -104,8 +118,8 @@ def theme_counts(ann: DataFrame) -> DataFrame:
 def dominance_chart(ann: DataFrame, top_n: int = S.DEFAULT_TOP_N) -> DataFrame:
     """Bar and Pareto chart data: top-n themes, percent of all chart rows and
     cumulative percent."""
-    counts = theme_counts(ann)
-    total = counts.agg(F.sum("count").alias("__total"))
+    counts = _once(theme_counts(ann))
+    total = _total(counts, "count", "__total")
     ranked = _rank_and_accumulate(counts, "count", "theme", top_n, "rank", "__cum")
     out = ranked.crossJoin(F.broadcast(total))
     return out.select(
