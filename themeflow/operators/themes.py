@@ -38,9 +38,11 @@ def _rank_and_accumulate(counts: DataFrame, count_col: str, theme_col: str, top_
     return with_running_sum(counts, count_col, order, cum_col, index_name=rank_col)
 
 
-def _total(counts: DataFrame, col: str, name: str) -> DataFrame:
-    """One-row grand total of a per-theme frame."""
-    return counts.agg(F.sum(col).alias(name))
+def _total(counts: DataFrame, col: str, name: str):
+    """Grand total of a (materialised, theme-sized) per-theme frame as a
+    literal column: one tiny aggregate job, no join."""
+    value = counts.agg(F.sum(col)).first()[0]
+    return F.lit(value).cast("long").alias(name)
 
 
 def _once(counts: DataFrame) -> DataFrame:
@@ -65,7 +67,7 @@ def pareto(ann: DataFrame, top_n: int | None = S.DEFAULT_TOP_N, include_reaction
     counts = _once(counts)
     total = _total(counts, "items_in_theme", "total_clustered_items")
     ranked = _rank_and_accumulate(counts, "items_in_theme", "__tag", top_n, "rank", "cumulative_items")
-    out = ranked.crossJoin(F.broadcast(total))  # one row
+    out = ranked.withColumn("total_clustered_items", total)
     share = F.col("items_in_theme") / F.col("total_clustered_items") * 100
     cum_share = F.col("cumulative_items") / F.col("total_clustered_items") * 100
     return out.select(
@@ -99,7 +101,7 @@ def dominance_summary(ann: DataFrame, include_reaction_only: bool = False,
     )
     per_tag = _once(per_tag)
     total = _total(per_tag, "__count", "__total")
-    out = per_tag.crossJoin(F.broadcast(total))
+    out = per_tag.withColumn("__total", total)
     return out.select(
         "consolidated_tag",
         percent_1dp(F.col("__count") / F.col("__total") * 100).alias("cluster_dominance_percent"),
@@ -121,7 +123,7 @@ def dominance_chart(ann: DataFrame, top_n: int = S.DEFAULT_TOP_N) -> DataFrame:
     counts = _once(theme_counts(ann))
     total = _total(counts, "count", "__total")
     ranked = _rank_and_accumulate(counts, "count", "theme", top_n, "rank", "__cum")
-    out = ranked.crossJoin(F.broadcast(total))
+    out = ranked.withColumn("__total", total)
     return out.select(
         F.col("rank").cast("int").alias("rank"), "theme", "count",
         (F.col("count") / F.col("__total") * 100).alias("percent"),
@@ -150,8 +152,9 @@ def sentiment_by_theme(ann: DataFrame, top_n: int = S.DEFAULT_TOP_N) -> DataFram
     cells = rows.groupBy("theme", "sentiment").agg(F.count(F.lit(1)).alias("count"))
     per_theme = cells.groupBy("theme").agg(F.sum("count").alias("theme_items"))
     top = per_theme.orderBy(*theme_order("theme_items", "theme")).limit(top_n)
-    buckets = ann.sparkSession.createDataFrame([(b,) for b in S.SENTIMENT_BUCKETS], "sentiment double")
-    scaffold = top.crossJoin(F.broadcast(buckets))  # at most top_n x 5 rows
+    # zero-filled grid: each top theme times the five buckets (array explode, no join)
+    scaffold = top.select("theme", "theme_items",
+                          F.explode(F.array(*[F.lit(b) for b in S.SENTIMENT_BUCKETS])).alias("sentiment"))
     out = scaffold.join(cells, ["theme", "sentiment"], "left").fillna(0, ["count"])
     return out.select(
         "theme", "theme_items", "sentiment", sentiment_label("sentiment").alias("sentiment_label"),
