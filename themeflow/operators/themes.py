@@ -161,3 +161,10 @@ def sentiment_by_theme(ann: DataFrame, top_n: int = S.DEFAULT_TOP_N) -> DataFram
         F.col("count"),
         (F.col("count") / F.col("theme_items") * 100).alias("percent"),
     )
+
+
+def analysis_frame(ann: DataFrame) -> DataFrame:
+    """Annotations for charts: cleaned theme (null/blank -> Unclustered) and
+    cluster id -1 where missing."""
+    return ann.withColumns({"consolidated_tag": clean_label("consolidated_tag"),
+                            "cluster_id": F.coalesce(F.col("cluster_id"), F.lit(-1))})

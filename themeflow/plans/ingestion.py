@@ -141,3 +141,36 @@ FROM conversations WHERE turn > 0""")
 def q_quality(spark, sf):
     c = B.conversation_comment_candidates(spark, sf)
     return c.select("id", IN.initial_status("author", "body").alias("status"))
+
+
+@query("pending_queue", Q.with_(Q.COMMENTS) + "SELECT id, status FROM comments WHERE status = 'pending' "
+       "ORDER BY id LIMIT 50")
+def q_pending(spark, sf):
+    return FL.pending_queue(B.thread_comments(spark, sf), 50).select("id", "status")
+
+
+@query("annotation_inputs", Q.with_(Q.POSTS, Q.COMMENTS) + """
+SELECT id AS item_id, 'post' AS item_type,
+       'Title: ' || coalesce(title, 'None') || chr(10) || chr(10) || 'Body: ' || coalesce(selftext, 'None') AS text
+FROM posts WHERE status = 'pending'
+UNION ALL SELECT id, 'comment', coalesce(body, 'None') FROM comments WHERE status = 'pending'""")
+def q_annotation_inputs(spark, sf):
+    from themeflow.operators.annotate import annotation_inputs
+    return annotation_inputs(B.thread_posts(spark, sf), B.thread_comments(spark, sf))
+
+
+@query("retry_queue", """
+SELECT 'e' || event_id::VARCHAR AS item_id, CASE event_type WHEN 'error' THEN '503 Service Unavailable'
+       WHEN 'click' THEN 'Request Timeout' ELSE 'invalid JSON' END AS error, (user_id % 4)::INTEGER AS attempts
+FROM events WHERE event_type IN ('error', 'click') AND user_id % 4 < 3""")
+def q_retry(spark, sf):
+    """Failed calls derived from events: errors and clicks carry transient
+    messages, the rest a permanent one; attempts from the user id."""
+    from themeflow.operators.annotate import retry_queue
+    ev = B.table(spark, sf, "events")
+    res = ev.select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("item_id"),
+                    F.when(F.col("event_type") == "error", "503 Service Unavailable")
+                    .when(F.col("event_type") == "click", "Request Timeout")
+                    .otherwise("invalid JSON").alias("error"),
+                    (F.col("user_id") % 4).cast("int").alias("attempts"))
+    return retry_queue(res)

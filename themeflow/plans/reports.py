@@ -168,3 +168,37 @@ FROM s""")
 def q_markdown(spark, sf):
     from themeflow.sources.sinks import summary_markdown_lines
     return summary_markdown_lines(TH.dominance_summary(_ann(spark, sf)))
+
+
+@query("analysis_frame", Q.with_(Q.ANNOTATIONS) + f"""
+SELECT item_id, item_type, sentiment, {Q.clean_text('consolidated_tag', S.UNCLUSTERED)} AS consolidated_tag,
+       coalesce(cluster_id, -1) AS cluster_id, is_substantive FROM annotations""")
+def q_analysis_frame(spark, sf):
+    return TH.analysis_frame(_ann(spark, sf)).select("item_id", "item_type", "sentiment", "consolidated_tag",
+                                                     "cluster_id", "is_substantive")
+
+
+@query("compact_themes", Q.with_(Q.ANNOTATIONS, f"""c AS (
+  SELECT consolidated_tag, count(*) AS n FROM annotations GROUP BY consolidated_tag)""", f"""top AS (
+  SELECT consolidated_tag FROM c ORDER BY n DESC, lower(consolidated_tag), consolidated_tag LIMIT {S.COMPACT_TOP_N})""") + f"""
+SELECT a.item_id, CASE WHEN t.consolidated_tag IS NOT NULL THEN a.consolidated_tag ELSE '{S.OTHER_THEMES}' END
+         AS theme_display
+FROM annotations a LEFT JOIN top t ON a.consolidated_tag = t.consolidated_tag""")
+def q_compact(spark, sf):
+    return TH.compact_themes(_ann(spark, sf)).select("item_id", "theme_display")
+
+
+@query("chart_sentiment_distribution", Q.with_(Q.ANNOTATIONS, f"""cells AS (
+  SELECT item_type, {Q.bucket('sentiment')} AS sentiment, count(*) AS n FROM annotations GROUP BY ALL)""", """counts AS (
+  SELECT item_type AS scope, sentiment, n FROM cells WHERE item_type IN ('post', 'comment')
+  UNION ALL SELECT 'all', sentiment, sum(n) FROM cells GROUP BY sentiment)""", f"""grid AS (
+  SELECT s.scope, b.sentiment, coalesce(c.n, 0) AS n
+  FROM (VALUES ('all'), ('post'), ('comment')) AS s(scope) CROSS JOIN {_BUCKETS_SQL}
+  LEFT JOIN counts c ON c.scope = s.scope AND c.sentiment = b.sentiment)""") + f"""
+SELECT CASE scope WHEN 'all' THEN 'All' WHEN 'post' THEN 'Posts' ELSE 'Comments' END AS scope, sentiment,
+       {Q.bucket_label('sentiment')} AS sentiment_label, n::BIGINT AS count,
+       CASE WHEN sum(n) OVER (PARTITION BY scope) > 0 THEN n / sum(n) OVER (PARTITION BY scope) * 100 ELSE 0.0 END
+         AS percent
+FROM grid""")
+def q_chart_sentiment(spark, sf):
+    return ST.sentiment_distribution(_ann(spark, sf), {"all": "All", "post": "Posts", "comment": "Comments"})
