@@ -17,8 +17,10 @@ _PID, _MID = "__pid", "__mid"
 
 
 def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without an explicit count AQE may merge small ranges; partition ids are
+    # read after the shuffle and stored with the rows, so any count works
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    sorted_df = ranged.sortWithinPartitions(*order)
     local = (sorted_df
              .withColumn(_PID, F.spark_partition_id())
              .withColumn(_MID, F.monotonically_increasing_id()))
