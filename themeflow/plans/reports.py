@@ -202,3 +202,61 @@ SELECT CASE scope WHEN 'all' THEN 'All' WHEN 'post' THEN 'Posts' ELSE 'Comments'
 FROM grid""")
 def q_chart_sentiment(spark, sf):
     return ST.sentiment_distribution(_ann(spark, sf), {"all": "All", "post": "Posts", "comment": "Comments"})
+
+
+# ------------------------------------------------------------- documents
+DOCS = """annotations AS (
+  SELECT 'd' || d.doc_id::VARCHAR AS item_id, d.lang AS item_type, d.text AS summary, d.source AS raw_tag,
+         l.quality = 1 AS is_substantive, d.source AS consolidated_tag, d.text AS cluster_explanation
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+@query("document_substance", Q.with_(DOCS) + """
+SELECT count(*) FILTER (WHERE coalesce(is_substantive, false)) AS substantive,
+       count(*) FILTER (WHERE NOT coalesce(is_substantive, false)) AS reaction_only,
+       count(*) AS total,
+       CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE coalesce(is_substantive, false)) / count(*) * 100 ELSE 0.0 END
+         AS substantive_percent,
+       CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE NOT coalesce(is_substantive, false)) / count(*) * 100 ELSE 0.0 END
+         AS reaction_only_percent
+FROM annotations""")
+def q_doc_substance(spark, sf):
+    return ST.substance_distribution(B.document_annotations(spark, sf))
+
+
+@query("document_theme_summary", Q.with_(DOCS, Q.THEME_ROWS, f"""t AS (
+  SELECT {Q.clean_text('consolidated_tag', S.UNCLUSTERED)} AS tag,
+         {Q.clean_text('cluster_explanation')} AS expl FROM theme_rows)""", """c AS (
+  SELECT tag, count(*) AS n FROM t GROUP BY tag)""", """e AS (
+  SELECT tag, expl, count(*) AS m FROM t WHERE expl <> '' GROUP BY tag, expl)""", """mode AS (
+  SELECT tag, arg_min(expl, (-m, expl)) AS expl FROM e GROUP BY tag)""") + """
+SELECT c.tag AS consolidated_tag,
+       round_even(c.n / sum(c.n) OVER () * 100, 1)::DOUBLE AS cluster_dominance_percent,
+       coalesce(mode.expl, '') AS consolidated_tag_explanation, c.n AS items_in_theme
+FROM c LEFT JOIN mode ON c.tag = mode.tag""")
+def q_doc_summary(spark, sf):
+    """Dominance summary over documents: whole texts are cleaned as
+    explanations; unlabelled documents (null flag) do not count."""
+    return TH.dominance_summary(B.document_annotations(spark, sf))
+
+
+@query("document_pareto_with_reactions", Q.with_(DOCS, """theme_rows AS (
+  SELECT * FROM annotations WHERE consolidated_tag IS NOT NULL AND trim(consolidated_tag, ' ') <> ''
+    AND lower(trim(consolidated_tag, ' ')) <> 'unclustered')""", """g AS (
+  SELECT consolidated_tag AS tag, count(*) AS items_in_theme,
+         count(*) FILTER (WHERE item_type = 'post') AS post_items,
+         count(*) FILTER (WHERE item_type = 'comment') AS comment_items
+  FROM theme_rows GROUP BY consolidated_tag)""", """r AS (
+  SELECT *, row_number() OVER (ORDER BY items_in_theme DESC, lower(tag), tag) AS rank,
+         sum(items_in_theme) OVER () AS total_clustered_items FROM g)""") + f"""
+SELECT rank::INTEGER AS rank, {Q.clean_text('tag', S.UNCLUSTERED)} AS theme, items_in_theme,
+       items_in_theme / total_clustered_items * 100 AS share_percent,
+       (sum(items_in_theme) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING))::BIGINT AS cumulative_items,
+       sum(items_in_theme) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) / total_clustered_items * 100
+         AS cumulative_share_percent,
+       post_items, comment_items, total_clustered_items::BIGINT AS total_clustered_items
+FROM r WHERE rank <= 10""")
+def q_doc_pareto(spark, sf):
+    """Pareto of document sources with reaction-only rows included: twenty
+    sources of equal size, so every rank is decided by the name order."""
+    return TH.pareto(B.document_annotations(spark, sf), top_n=10, include_reaction_only=True)
