@@ -260,3 +260,41 @@ def q_doc_pareto(spark, sf):
     """Pareto of document sources with reaction-only rows included: twenty
     sources of equal size, so every rank is decided by the name order."""
     return TH.pareto(B.document_annotations(spark, sf), top_n=10, include_reaction_only=True)
+
+
+EVENTS = """annotations AS (
+  SELECT 'e' || event_id::VARCHAR AS item_id,
+         CASE WHEN event_type = 'click' THEN 'post' WHEN event_type = 'view' THEN 'comment' ELSE event_type END
+           AS item_type,
+         value / 50 - 1 AS sentiment FROM events)"""
+
+
+@query("event_sentiment_distribution", Q.with_(EVENTS, f"""cells AS (
+  SELECT item_type, {Q.bucket('sentiment')} AS sentiment, count(*) AS n FROM annotations GROUP BY ALL)""", """counts AS (
+  SELECT item_type AS scope, sentiment, n FROM cells WHERE item_type IN ('post', 'comment')
+  UNION ALL SELECT 'all', sentiment, sum(n) FROM cells GROUP BY sentiment)""", f"""grid AS (
+  SELECT s.scope, b.sentiment, coalesce(c.n, 0) AS n
+  FROM (VALUES ('all'), ('post'), ('comment')) AS s(scope) CROSS JOIN {_BUCKETS_SQL}
+  LEFT JOIN counts c ON c.scope = s.scope AND c.sentiment = b.sentiment)""") + f"""
+SELECT scope, sentiment, {Q.bucket_label('sentiment')} AS sentiment_label, n::BIGINT AS count,
+       CASE WHEN sum(n) OVER (PARTITION BY scope) > 0 THEN n / sum(n) OVER (PARTITION BY scope) * 100 ELSE 0.0 END
+         AS percent
+FROM grid""")
+def q_event_sentiment(spark, sf):
+    """Continuous raw sentiments (value / 50 - 1); other event types count in
+    the ``all`` scope only."""
+    return ST.sentiment_distribution(B.event_annotations(spark, sf))
+
+
+DOC_SEARCH = dict(all_of=["la"], any_of=["eau", "mente"], none_of=["zzz"])
+
+
+@query("document_search", """
+SELECT 'd' || doc_id::VARCHAR AS item_id, source FROM documents
+WHERE contains(lower(coalesce(text, '')), 'la') AND (contains(lower(coalesce(text, '')), 'eau')
+      OR contains(lower(coalesce(text, '')), 'mente')) AND NOT contains(lower(coalesce(text, '')), 'zzz')""")
+def q_doc_search(spark, sf):
+    """Boolean search over whole document texts."""
+    from themeflow.operators.filters import search_items
+    d = B.document_annotations(spark, sf)
+    return search_items(d, fields=("summary",), **DOC_SEARCH).select("item_id", F.col("raw_tag").alias("source"))
