@@ -9,6 +9,7 @@ import json
 from pyspark.sql import functions as F
 
 from themeflow.operators import annotate as AN
+from themeflow.schemas import ANNOTATIONS
 from themeflow.operators import state as SM
 from themeflow.plans import sql as Q
 from themeflow.plans.registry import query
@@ -82,9 +83,7 @@ def q_annotate(spark, sf):
         "id", "post_id", "body", "score", "created_utc", F.lit("pending").alias("status"))
     inputs = AN.annotation_inputs(posts, comments)
     parsed = AN.parse_item_responses(AN.call_model(inputs, echo_model).drop("text"))
-    empty = spark.createDataFrame([], SM_ANN_SCHEMA)
-    new_items, new_ann = SM.apply_annotation_results(comments, empty, parsed)
+    empty = spark.createDataFrame([], ANNOTATIONS)
+    _, new_ann = SM.apply_annotation_results(comments, empty, parsed)
     return new_ann
 
-
-from themeflow.schemas import ANNOTATIONS as SM_ANN_SCHEMA  # noqa: E402
