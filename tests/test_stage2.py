@@ -44,3 +44,15 @@ def test_partition_count_does_not_change_reports(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_reports_accept_the_legacy_layout(spark):
+    import pytest
+    from themeflow.operators.themes import pareto
+    legacy = spark.createDataFrame([("a", "post", "Reaction Only", "x"), ("b", "comment", "t", "x"),
+                                    ("c", "comment", "t", " unclustered ")],
+                                   "item_id string, item_type string, raw_tag string, consolidated_tag string")
+    rows = pareto(legacy, top_n=0).collect()
+    assert [(r.theme, r.items_in_theme, r.comment_items) for r in rows] == [("x", 1, 1)]
+    with pytest.raises(ValueError):
+        pareto(legacy.drop("raw_tag"))
