@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from themeflow.llm import line_index, repetition
-from themeflow.llm.sql import LINE_DEDUP_SQL
+from themeflow.llm import host_reputation, line_index, repetition, source_mix, warc
+from themeflow.llm.sql import HOST_REPUTATION_SQL, LINE_DEDUP_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(_table(spark, sf_dir, "pages")))
+
+
+def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the label with its number; junk or toxic is bad."""
+    labels = _table(spark, sf_dir, "labels").dropna(subset=["quality", "toxic"])
+    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
+    return host_reputation.judge_urls(_table(spark, sf_dir, "pages"),
+                                      labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_index.digest(line_index.dedup_lines(_table(spark, sf_dir, "documents")))
 
@@ -24,11 +37,19 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix_report(_table(spark, sf_dir, "documents")).drop("source")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
+    "op2_host_reputation": op2_host_reputation,
     "op5_line_dedup": op5_line_dedup,
+    "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_host_reputation": HOST_REPUTATION_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
 }

@@ -19,3 +19,64 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+          ("allow", "org", "/fr/"))
+
+
+def _rule_case(what: str) -> str:
+    longest_first = sorted(_RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') "
+        f"THEN '{v if what == 'verdict' else h + p}'" for v, h, p in longest_first) + " ELSE NULL END"
+
+
+def _level(level: str, above: str) -> str:
+    """Empirical-Bayes shrinkage of one level towards the means of ``above``."""
+    return f"""
+{level}_groups AS (
+  SELECT {level}, sum(n) AS gn, sum(bad) AS gbad, max(prior) AS prior FROM {above} GROUP BY {level}
+), {level}_rho AS (
+  SELECT sum(prior * (1 - prior) * (gn - 1)) AS slope,
+         sum(gn * (gbad / gn - prior) ** 2) - sum(prior * (1 - prior)) AS over
+  FROM {level}_groups WHERE gn > 0
+), {level}_strength AS (
+  SELECT coalesce(CASE WHEN slope > 0 THEN CASE WHEN over / slope > 0
+      THEN least(1000.0, greatest(1.0, slope / over - 1)) ELSE 1000.0 END ELSE 20.0 END, 20.0) AS strength
+  FROM {level}_rho
+), {level}_post AS (
+  SELECT a.* REPLACE ((g.gbad + strength * g.prior) / (g.gn + strength) AS prior)
+  FROM {above} a JOIN {level}_groups g USING ({level}), {level}_strength
+)"""
+
+
+HOST_REPUTATION_SQL = f"""
+WITH parsed AS (
+  SELECT page_id, translate(regexp_extract(u, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(u, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM (SELECT page_id, coalesce(url, '') AS u FROM pages)
+), seen AS (
+  SELECT doc_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad
+  FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL
+), named AS (
+  SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, string_split(host, '.') AS names
+  FROM parsed LEFT JOIN seen ON page_id = doc_id GROUP BY host
+), suffixed AS (
+  SELECT *, CASE WHEN len(names) > 2 AND length(names[-1]) = 2
+                      AND names[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END AS tail
+  FROM named
+), counted AS (
+  SELECT host, n, bad, array_to_string(names[greatest(1, len(names) - tail + 1):], '.') AS suffix,
+         array_to_string(names[greatest(1, len(names) - tail):], '.') AS domain,
+         (sum(bad) OVER () + 0.5) / (sum(n) OVER () + 1.0) AS prior
+  FROM suffixed
+), {_level('suffix', 'counted')}, {_level('domain', 'suffix_post')}, {_level('host', 'domain_post')},
+bounds AS (
+  SELECT host, n, bad, prior - 1.645 * sqrt(prior * (1 - prior) / (n + strength + 1)) AS bound
+  FROM host_post, host_strength
+)
+SELECT page_id, host, path, {_rule_case('name')} AS rule,
+       coalesce({_rule_case('verdict')}, CASE WHEN bound > 0.3 THEN 'block' ELSE 'allow' END) AS verdict,
+       n::BIGINT AS n_labelled, bad::BIGINT AS n_bad
+FROM parsed JOIN bounds USING (host)
+"""
