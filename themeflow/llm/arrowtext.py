@@ -29,10 +29,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             yield batch.slice(int(lo), int(hi - lo))
 
 
+def whole_texts(texts: pa.Array) -> pa.Array:
+    """The texts of a slice as an array of its own, nulls as empty texts.
+    (Some Arrow kernels mistake the offsets of sliced and cast arrays.)"""
+    own = texts.take(pa.array(np.arange(len(texts))))
+    return pc.fill_null(own, "")
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of all texts in one flat array, and the
     number of words of each text (null: none). ``lower`` maps A-Z only."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = whole_texts(texts)
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)

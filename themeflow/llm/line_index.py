@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from themeflow.llm.arrowtext import WORD_SPACE, text_slices
+from themeflow.llm.arrowtext import WORD_SPACE, text_slices, whole_texts
 from themeflow.llm.cuckoo import CuckooFilter
-from themeflow.llm.stored import Stored, store
+from themeflow.llm.stored import Stored
 
 #: Stands for a null id inside the index: before all others.
 NULL_ID = -(1 << 63)
@@ -45,7 +45,7 @@ _KEY = pa.binary()
 
 def line_keys(texts: pa.Array, min_chars: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """All lines, the key of each (null: too short), lines per text."""
-    parts = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), "\n")
+    parts = pc.split_pattern(whole_texts(texts), "\n")
     lines = parts.flatten()
     counts = np.diff(parts.offsets.to_numpy())
     plain = pc.ascii_lower(pc.ascii_trim(lines, characters=WORD_SPACE))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import host_reputation, line_index, repetition, source_mix, warc
+from themeflow.llm import host_reputation, jaccard_join, line_index, repetition, source_mix, warc
 from themeflow.llm.sql import HOST_REPUTATION_SQL, LINE_DEDUP_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_index.digest(line_index.dedup_lines(_table(spark, sf_dir, "documents")))
 
@@ -44,6 +48,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_host_reputation": op2_host_reputation,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_dedup": op5_line_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
