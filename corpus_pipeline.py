@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themeflow.llm.decontaminate import remove_contaminated
+from themeflow.llm.jaccard_join import one_of_each
 from themeflow.llm.line_index import dedup_lines
 from themeflow.llm.repetition import keep_clean
+from themeflow.llm.source_mix import mix_report
 from themeflow.llm.stored import store
 
 
@@ -27,9 +30,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the smallest document stays."""
+    return one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of the sources takes."""
+    return mix_report(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
+    ("ngram_jaccard", ngram_jaccard),
+    ("decontaminate", decontaminate),
+    ("source_mix", source_mix),
 ]
 
 ORACLE_SQL = None

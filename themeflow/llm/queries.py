@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import host_reputation, jaccard_join, line_index, repetition, source_mix, warc
+from themeflow.llm import (decontaminate, host_reputation, jaccard_join, line_index, repetition, secrets_scan,
+                           source_mix, warc)
 from themeflow.llm.sql import HOST_REPUTATION_SQL, LINE_DEDUP_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -50,6 +59,8 @@ QUERIES: dict[str, Query] = {
     "op2_host_reputation": op2_host_reputation,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_dedup": op5_line_dedup,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
 }
