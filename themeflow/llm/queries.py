@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import (decontaminate, host_reputation, jaccard_join, line_index, repetition, secrets_scan,
-                           source_mix, warc)
+from themeflow.llm import (decontaminate, host_reputation, interpolated_lm, jaccard_join, line_index, repetition,
+                           secrets_scan, source_mix, suffix_index, warc)
 from themeflow.llm.sql import HOST_REPUTATION_SQL, LINE_DEDUP_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.digest(suffix_index.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -54,15 +58,21 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_report(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_host_reputation": op2_host_reputation,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_secret_scan": op7_secret_scan,
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
+    "op10_interpolated_lm": op10_interpolated_lm,
 }
 
 ORACLES: dict[str, str] = {
