@@ -45,6 +45,7 @@ class MixSettings:
     block_words: int = 64
     shard_slots: int = 4096
     rounds: int = 24
+    task_slots: int = 100_000
     seed: int = 20
 
 
@@ -121,8 +122,8 @@ def shard_counts(sources: DataFrame, s: MixSettings) -> DataFrame:
     counts = (grid.join(extra, ["shard", "sid"], "left")
               .withColumn("n", F.col("whole") + F.coalesce("extra", F.lit(0))))
     earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select("sid", "n_blocks", "shard", "n",
-                         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    return store(counts.select("sid", "n_blocks", "shard", "n",
+                               F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")), "mix-counts")
 
 
 def permuted(place: Column, n: Column, salt: Column, rounds: int) -> Column:
@@ -136,8 +137,10 @@ def permuted(place: Column, n: Column, salt: Column, rounds: int) -> Column:
 
 
 def slots(counts: DataFrame, s: MixSettings) -> DataFrame:
-    """One row per slot of the output: shard, source, block."""
-    return (counts.filter("n > 0")
+    """One row per slot of the output: shard, source, block. The few rows of
+    counts are dealt out first, by how many slots they become."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return (counts.filter("n > 0").repartition(1 + total // s.task_slots, "sid", "shard")
             .select("sid", "n_blocks", "shard", F.explode(F.expr("sequence(start, start + n - 1)")).alias("g"))
             .withColumn("pass", F.floor(F.col("g") / F.col("n_blocks")))
             .filter(F.col("pass") < s.max_repeats)
@@ -178,8 +181,8 @@ def mixed_parts(docs: DataFrame, s: MixSettings = MixSettings(), **cols) -> Data
     its block, as doc_id, from_word and words."""
     placed, sources = layout(docs, s, **cols)
     placed = store(placed, "mix-layout")
-    parts = doc_blocks(placed, s).join(placed.select("row", "doc_id"), "row")
-    return slots(shard_counts(sources, s), s).join(parts, ["sid", "block"]).select(
+    parts = doc_blocks(placed, s).join(placed.select("row", "doc_id").hint("merge"), "row")
+    return slots(shard_counts(sources, s), s).join(parts.hint("merge"), ["sid", "block"]).select(
         "shard", "sid", "g", "block", "doc_id", "from_word", "words")
 
 
@@ -189,7 +192,8 @@ def mix_report(docs: DataFrame, s: MixSettings = MixSettings(), **cols) -> DataF
     placed, sources = layout(docs, s, **cols)
     placed = store(placed, "mix-layout")
     times = slots(shard_counts(sources, s), s).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = (doc_blocks(placed, s).join(times, ["sid", "block"])
+    # estimates know nothing of exploded rows: without the hint they are broadcast
+    taken = (doc_blocks(placed, s).join(times.hint("merge"), ["sid", "block"])
              .groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken")))
-    return (placed.join(taken, "row", "left")
+    return (placed.join(taken.hint("merge"), "row", "left")
             .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "source"))
