@@ -7,7 +7,8 @@ strength is estimated from the spread of the observed rates around those means
 by the method of moments. So a host with few labels is judged by its domain, a
 domain by its suffix. A page is blocked if the posterior of its host's bad rate
 lies above ``bad_rate`` with its lower bound, mean - z standard deviations.
-Explicit rules (host, path prefix) come before the method.
+Without any label nothing is blocked. Explicit rules (host, path prefix) come
+before the method.
 
 Counts are partial sums per host, so a very common host is one row per task;
 only (host, verdict) rows join back to the pages.
@@ -96,9 +97,9 @@ def by_rule(host: Column, path: Column, rules: tuple[UrlRule, ...], value) -> Co
 def posterior(counts: DataFrame, s: ReputationSettings) -> DataFrame:
     """Per host: labelled pages, bad ones, and the posterior mean and bound.
     ``counts`` has host, domain, suffix, n, bad."""
-    whole = counts.agg(((F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("prior"))
+    whole = counts.agg(F.when(F.sum("n") > 0, (F.sum("bad") + 0.5) / (F.sum("n") + 1.0)).alias("prior"))
     least, most = s.strengths
-    out = counts.withColumn("prior", F.coalesce(whole.scalar(), F.lit(0.5)))
+    out = counts.withColumn("prior", F.coalesce(whole.scalar(), F.lit(0.0)))
     for level in s.levels:
         groups = out.groupBy(level).agg(F.sum("n").alias("gn"), F.sum("bad").alias("gbad"),
                                         F.max("prior").alias("prior"))

@@ -236,7 +236,7 @@ def learn_weights(cells: pa.Table, s: LmSettings) -> np.ndarray:
     """(bucket, order 0-2) weights by expectation-maximisation. Buckets
     without training bigrams take those of the next smaller one."""
     bucket = cells["bucket"].to_numpy()
-    ratio = lambda c: np.where(c == _ZERO, 0.0, np.exp(np.maximum(c, _ZERO // 1000) * s.log_step))
+    ratio = lambda c: np.where(c == _ZERO, 0.0, np.exp(c * s.log_step))
     p = np.stack([np.ones(len(bucket)), ratio(cells["one"].to_numpy()), ratio(cells["two"].to_numpy())], axis=1)
     mass = cells["weight"].to_numpy()
     weights = np.full((65, 3), 1 / 3)

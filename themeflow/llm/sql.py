@@ -68,7 +68,7 @@ WITH parsed AS (
 ), counted AS (
   SELECT host, n, bad, array_to_string(names[greatest(1, len(names) - tail + 1):], '.') AS suffix,
          array_to_string(names[greatest(1, len(names) - tail):], '.') AS domain,
-         (sum(bad) OVER () + 0.5) / (sum(n) OVER () + 1.0) AS prior
+         CASE WHEN sum(n) OVER () > 0 THEN (sum(bad) OVER () + 0.5) / (sum(n) OVER () + 1.0) ELSE 0.0 END AS prior
   FROM suffixed
 ), {_level('suffix', 'counted')}, {_level('domain', 'suffix_post')}, {_level('host', 'domain_post')},
 bounds AS (
