@@ -1,21 +1,94 @@
 import json
 import os
 
+from pyspark.sql import functions as F
+
+from themeflow.plans.streaming_jobs import q_stream_counts
 from themeflow.sources.tables import VersionedTable
 from themeflow.streaming import streams as ST
 
+WEEK = 7 * 86400
+
+
+def put(folder, name, posts):
+    """A payload file of (id, created_utc) posts."""
+    os.makedirs(folder, exist_ok=True)
+    kids = [{"kind": "t3", "data": {"id": i, "selftext": "x", "author": "u", "created_utc": t}} for i, t in posts]
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(json.dumps({"query_id": "q", "source_priority": 1, "page_no": 0, "data": {"children": kids}}) + "\n")
+
+
+def run(spark, root, table, name="posts", **kw):
+    stream = ST.ingest_stream(spark, os.path.join(root, "in")).select("id", "status", "query_id", "created_utc")
+    ST.run_available_now(stream, os.path.join(root, f"ckpt-{name}"),
+                         ST.upsert_batches(table, "id", stream.schema, name, **kw), output_mode="append")
+
+
+def ids(table):
+    return sorted(r.id for r in table.read().collect())
+
 
 def test_stream_ingest_dedupes_ids_and_upserts(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "in")
-    os.makedirs(src)
-    page = lambda ids: {"query_id": "q", "source_priority": 1, "page_no": 0,
-                        "data": {"children": [{"kind": "t3", "data": {"id": i, "selftext": "x", "author": "u",
-                                                                      "created_utc": 1.7e9}} for i in ids]}}
-    for n, ids in enumerate([["a", "b"], ["b", "c"]]):
-        with open(os.path.join(src, f"p{n}.json"), "w") as f:
-            f.write(json.dumps(page(ids)) + "\n")
-    stream = ST.ingest_stream(spark, src).select("id", "status", "query_id")
+    put(src, "p0.json", [("a", 1.7e9), ("b", 1.7e9)])
+    put(src, "p1.json", [("b", 1.7e9), ("c", 1.7e9)])
+    table = VersionedTable(spark, os.path.join(tmpdir_path, "posts"))
+    run(spark, tmpdir_path, table)
+    assert ids(table) == ["a", "b", "c"]
+
+
+def test_older_posts_of_a_later_batch_are_kept(spark, tmpdir_path):
     table = VersionedTable(spark, os.path.join(tmpdir_path, "posts"))
-    ST.run_available_now(stream, os.path.join(tmpdir_path, "ckpt"), ST.upsert_batches(table, "id", stream.schema),
-                         output_mode="append")
-    assert sorted(r.id for r in table.read().collect()) == ["a", "b", "c"]
+    put(os.path.join(tmpdir_path, "in"), "p0.json", [("new", 1.7e9)])
+    run(spark, tmpdir_path, table)
+    put(os.path.join(tmpdir_path, "in"), "p1.json", [("old", 1.7e9 - WEEK), ("fresh", 1.7e9 + 60), ("none", None)])
+    run(spark, tmpdir_path, table)
+    assert ids(table) == ["fresh", "new", "none", "old"]
+
+
+def test_other_writers_between_batches_lose_nothing(spark, tmpdir_path):
+    table = VersionedTable(spark, os.path.join(tmpdir_path, "posts"))
+    put(os.path.join(tmpdir_path, "in"), "p0.json", [("a", 1.0)])
+    run(spark, tmpdir_path, table)
+    other = table.read().withColumn("id", F.lit("other"))
+    table.write(table.read().unionByName(other))
+    put(os.path.join(tmpdir_path, "in"), "p1.json", [("b", 2.0)])
+    run(spark, tmpdir_path, table)
+    assert ids(table) == ["a", "b", "other"]
+    # a second stream with a checkpoint of its own
+    put(os.path.join(tmpdir_path, "in"), "p2.json", [("c", 3.0)])
+    run(spark, tmpdir_path, table, "second")
+    assert ids(table) == ["a", "b", "c", "other"]
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmpdir_path):
+    table = VersionedTable(spark, os.path.join(tmpdir_path, "t"))
+    batch = spark.createDataFrame([("a", 1)], "id string, v int")
+    merge = ST.upsert_batches(table, "id", batch.schema, "s")
+    merge(batch, 0)
+    table.write(table.read().withColumn("v", F.lit(9)))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+    merge(spark.createDataFrame(batch.rdd.mapPartitions(count), batch.schema), 0)
+    assert [tuple(r) for r in table.read().collect()] == [("a", 9)] and seen.value >= 1
+
+
+def test_existing_rows_can_stay(spark, tmpdir_path):
+    table = VersionedTable(spark, os.path.join(tmpdir_path, "t"))
+    schema = spark.createDataFrame([("a", 1)], "id string, v int")
+    merge = ST.upsert_batches(table, "id", schema.schema, "s", skip_existing=True)
+    merge(schema, 0)
+    merge(spark.createDataFrame([("a", 2), ("b", 3)], "id string, v int"), 1)
+    assert sorted(map(tuple, table.read().collect())) == [("a", 1), ("b", 3)]
+
+
+def test_counts_of_a_table_stored_as_a_folder(spark, tmpdir_path):
+    one = "/root/testdata/sf0.001"
+    many = os.path.join(tmpdir_path, "sf")
+    spark.read.parquet(f"{one}/events.parquet").repartition(3).write.parquet(f"{many}/events.parquet")
+    got, want = (sorted(map(tuple, q_stream_counts(spark, d).collect())) for d in (many, one))
+    assert got == want and got

@@ -5,9 +5,10 @@ Input frames are *candidates*: one row per post found by a search, with a
 and their position in the thread. Readers for raw payload files live in
 ``themeflow.sources.payloads``.
 
-Per-group "first k" rules use ``row_number() <= k``: Spark plans these with a
-partial group limit before the shuffle (WindowGroupLimit), so a query or post
-holding a third of all rows sends at most k rows per map task."""
+Per-group "first k" rules go in two steps for large k: the first k of each of
+``SALTS`` parts of a group, then of the group, so a query or post that holds a
+third of all rows is never one task. Up to ``PARTIAL_K`` Spark itself limits
+groups before the shuffle (WindowGroupLimit), and one step is enough."""
 
 from __future__ import annotations
 
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from themeflow import schemas as S
 
+SALTS = 64
+PARTIAL_K = 1000    # spark.sql.optimizer.windowGroupLimitThreshold
+
 
 def is_low_quality(author, body) -> Column:
     """Moderator bot, any author containing ``bot``, or a deleted/removed/
@@ -60,10 +64,11 @@ def with_defaults(posts: DataFrame) -> DataFrame:
     return posts.withColumns({c: F.coalesce(F.col(c), v) for c, v in fills.items() if c in posts.columns})
 
 
-def first_occurrence(cands: DataFrame, order: Order) -> DataFrame:
-    """Keep the first row per id in ``order`` (ids without value dropped)."""
+def first_occurrence(cands: DataFrame, order: Order, group: str = "query_id") -> DataFrame:
+    """Keep the first row per query and id in ``order`` (ids without value
+    dropped). What a query sees does not depend on other queries of the run."""
     valid = cands.filter(F.col("id").isNotNull() & (F.col("id") != ""))
-    w = Window.partitionBy("id").orderBy(*order_cols(order))
+    w = Window.partitionBy(*[c for c in (group, "id") if c in cands.columns]).orderBy(*order_cols(order))
     return valid.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
@@ -74,13 +79,14 @@ def quota(posts: DataFrame, limit: int, order: Order, group: str = "query_id") -
     The cut-off is the order position of the ``limit``-th usable post of
     each group, found with a per-group top-k; groups with fewer usable posts
     keep everything."""
-    usable = posts.filter(F.col("status") != "skipped")
-    w = Window.partitionBy(group).orderBy(*order_cols(order))
     names = [c for c, _ in order]
-    cut = (usable.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == limit)
+    usable = posts.filter(F.col("status") != "skipped").select(group, *names)
+    w = Window.partitionBy(group).orderBy(*order_cols(order))
+    cut = (_salted(usable, limit, group, order).withColumn("__rn", F.row_number().over(w))
+           .filter(F.col("__rn") == limit)
            .select(F.col(group), *[F.col(c).alias(f"__cut_{c}") for c in names]))
     j = posts.join(cut, group, "left")
-    return (j.filter(F.col(f"__cut_{names[-1]}").isNull() | _not_after(order))
+    return (j.filter(F.col(f"__cut_{names[-1]}").isNull() | F.coalesce(_not_after(order), F.lit(True)))
             .drop(*[f"__cut_{c}" for c in names]))
 
 
@@ -89,13 +95,27 @@ def _not_after(order: Order) -> Column:
     cond = F.lit(True)
     for name, desc in reversed(order):
         v, cut = F.col(name), F.col(f"__cut_{name}")
-        before = (v > cut) if desc else (v < cut)
-        cond = before | ((v == cut) & cond)
+        # nulls as in the sort: first where ascending, last where descending
+        before = F.coalesce((v > cut) if desc else (v < cut),
+                            (v.isNotNull() & cut.isNull()) if desc else (v.isNull() & cut.isNotNull()))
+        cond = before | (v.eqNullSafe(cut) & cond)
     return cond
 
 
+def _salted(df: DataFrame, k: int, group: str, order: Order) -> DataFrame:
+    """Rows that can be among the first ``k`` of their group: the first k of
+    each part of it (all the same, and planned by Spark, for small k)."""
+    if k <= PARTIAL_K:
+        return df
+    salt = F.pmod(F.xxhash64(*[c for c, _ in order]), F.lit(SALTS))
+    w = Window.partitionBy(group, "__salt").orderBy(*order_cols(order))
+    return (df.withColumn("__salt", salt).withColumn("__part", F.row_number().over(w))
+            .filter(F.col("__part") <= k).drop("__salt", "__part"))
+
+
 def first_k(df: DataFrame, k: int, group: str, order: Order) -> DataFrame:
-    """First ``k`` rows per group in ``order`` (partial group limit)."""
+    """First ``k`` rows per group in ``order``, for any k."""
+    df = _salted(df, k, group, order)
     w = Window.partitionBy(group).orderBy(*order_cols(order))
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k).drop("__rn")
 

@@ -8,62 +8,66 @@ reduced per key with a partial aggregate before any join.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeflow import schemas as S
-from themeflow.functions.text import strip_space
-
-# A literal id or mapping list passed from the driver is broadcast only up to
-# this many entries; a DataFrame argument is joined normally (AQE decides).
-MAX_LITERAL_BROADCAST = 100_000
 
 
 def _ids_frame(spark, ids, name: str = "__id") -> DataFrame:
-    """Ids from a Python list (driver input, so its size is known) or a
-    DataFrame with one column."""
+    """Ids from a Python list or a DataFrame with one column. Spark chooses
+    the join by their size."""
     if isinstance(ids, DataFrame):
         return ids.select(F.col(ids.columns[0]).cast("string").alias(name)).distinct()
     ids = sorted({str(i) for i in ids})
-    df = spark.createDataFrame([(i,) for i in ids], f"{name} string")
-    return F.broadcast(df) if len(ids) <= MAX_LITERAL_BROADCAST else df
+    return spark.createDataFrame([(i,) for i in ids], f"{name} string")
+
+
+def _first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row per key in ``order``: a partial limit of one row per key
+    and map task comes before the shuffle, so a key repeated millions of
+    times costs little."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
-def last_per_key(updates: DataFrame, key: str, seq: str | None = None) -> DataFrame:
+def last_per_key(updates: DataFrame, key: str | list[str], seq: str | None = None) -> DataFrame:
     """Last write per key: the row with the largest ``seq`` (ties: any
-    equal-seq row is a valid last write; pass a unique seq to pin it).
-    ``max_by`` aggregates partially before the shuffle, so a key repeated
-    millions of times costs one row per map task."""
-    if seq is None:
-        return updates.dropDuplicates([key])
-    others = [c for c in updates.columns if c != key]
-    packed = updates.groupBy(key).agg(F.max_by(F.struct(*others), F.col(seq)).alias("__row"))
-    return packed.select(key, *[F.col(f"__row.{c}").alias(c) for c in others])
-
-
-def upsert(base: DataFrame, updates: DataFrame, key: str, seq: str | None = None) -> DataFrame:
-    """Insert or fully overwrite rows by key (nulls in the update win)."""
-    latest = last_per_key(updates, key, seq)
-    if seq is not None and seq not in base.columns:
-        latest = latest.drop(seq)
-    kept = base.join(latest.select(key), key, "left_anti")
-    return kept.unionByName(latest.select(*base.columns))
-
-
-def apply_annotation_results(items: DataFrame, annotations: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    equal-seq row is a valid last write; pass a unique seq to pin it)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return updates.dropDuplicates(keys) if seq is None else _first_row(updates, keys, [F.col(seq).desc()])
+
+
+def upsert(base: DataFrame, updates: DataFrame, key: str | list[str], seq: str | None = None) -> DataFrame:
+    """Insert or fully overwrite rows by key (nulls in the update win). Old
+    and new rows go through one shuffle, updates before the stored row."""
+    keys = [key] if isinstance(key, str) else list(key)
+    new = updates.withColumn("__seq", F.col(seq).cast("long") if seq else F.lit(0).cast("long")).withColumn("__new", F.lit(1))
+    old = base.withColumn("__seq", F.lit(0).cast("long")).withColumn("__new", F.lit(0))
+    both = old.unionByName(new.select(*base.columns, "__seq", "__new"))
+    return _first_row(both, keys, [F.col("__new").desc(), F.col("__seq").desc()]).select(*base.columns)
+
+
+def apply_annotation_results(items: DataFrame, annotations: DataFrame, results: DataFrame,
+                             item_type: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Merge model results into items and annotations.
 
     ``results`` has ``item_id``, the annotation columns and ``error``. A row
     without error upserts its annotation and marks the item ``processed``; a
     row with error marks the item ``failed`` and leaves its annotation alone.
-    Results for unknown items still upsert their annotation.
-
-    Results are first reduced to one row per item (an aggregate). The error
-    test then runs on the aggregate's output, which also stops Catalyst from
-    pushing it into the response parsing below."""
-    res = last_per_key(results, "item_id")
+    Results for unknown items still upsert their annotation. With
+    ``item_type`` only results of that type touch ``items`` (a post's result
+    says nothing of a comment with the same id).
+
+    Both outputs read ``results``: pass a stored frame (``materialize``) if
+    computing it calls a model. Of several results of an item a success wins."""
+    by_type = "item_type" in results.columns
+    if item_type is not None and by_type:
+        results = results.filter(F.col("item_type") == item_type)
+    res = _first_row(results, ["item_id"], [F.col("error").isNull().desc()] + [
+        F.col(c).asc_nulls_last() for c in ("sentiment", "raw_tag", "summary") if c in results.columns])
     ok = res.filter(F.col("error").isNull())
     upd = ok.select(*[F.col(c) if c in ok.columns else F.lit(None).cast(annotations.schema[c].dataType).alias(c)
                       for c in annotations.columns])
@@ -127,7 +131,6 @@ def apply_tag_mapping(annotations: DataFrame, mapping) -> DataFrame:
     spark = annotations.sparkSession
     if isinstance(mapping, Mapping):
         m = spark.createDataFrame(sorted(mapping.items()), "__raw string, __mapped string")
-        m = F.broadcast(m) if len(mapping) <= MAX_LITERAL_BROADCAST else m
     else:
         m = mapping.toDF("__raw", "__mapped").dropDuplicates(["__raw"])
     j = annotations.join(m, F.col("raw_tag") == F.col("__raw"), "left")
@@ -234,11 +237,3 @@ def embedding_queue(annotations: DataFrame, force: bool = False) -> DataFrame:
 def _pytext(c: Column) -> Column:
     """How a Python f-string renders a nullable string: null -> 'None'."""
     return F.coalesce(c, F.lit("None"))
-
-
-def drop_blank(c: Column) -> Column:
-    return F.nullif(strip_space(c), F.lit(""))
-
-
-def ids_of(values: Iterable) -> list[str]:
-    return [str(v) for v in values]

@@ -133,13 +133,12 @@ def dominance_chart(ann: DataFrame, top_n: int = S.DEFAULT_TOP_N) -> DataFrame:
 
 def compact_themes(df: DataFrame, column: str = "consolidated_tag", top_n: int = S.COMPACT_TOP_N,
                    out_col: str = "theme_display") -> DataFrame:
-    """Keep the ``top_n`` most frequent values of ``column``; others become
-    ``Other themes``. The top list has at most ``top_n`` rows, so it is
-    broadcast."""
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    """Keep the ``top_n`` most frequent values of ``column``; others, and
+    rows without a value (which is no theme), become ``Other themes``."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
     top = (counts.orderBy(*theme_order("__n", column)).limit(top_n)
            .select(F.col(column).alias("__top")))
-    j = df.join(F.broadcast(top), F.col(column) == F.col("__top"), "left")
+    j = df.join(top, F.col(column) == F.col("__top"), "left")
     return j.withColumn(out_col, F.when(F.col("__top").isNotNull(), F.col(column))
                         .otherwise(F.lit(S.OTHER_THEMES))).drop("__top")
 

@@ -13,6 +13,7 @@ from themeflow.schemas import ANNOTATIONS
 from themeflow.operators import state as SM
 from themeflow.plans import sql as Q
 from themeflow.plans.registry import query
+from themeflow.session import materialize
 from themeflow.sources import bindings as B
 
 
@@ -82,7 +83,8 @@ def q_annotate(spark, sf):
     comments = B.conversation_comment_candidates(spark, sf).select(
         "id", "post_id", "body", "score", "created_utc", F.lit("pending").alias("status"))
     inputs = AN.annotation_inputs(posts, comments)
-    parsed = AN.parse_item_responses(AN.call_model(inputs, echo_model).drop("text"))
+    # stored once: merging reads the results twice, and must not call the model again
+    parsed = materialize(AN.parse_item_responses(AN.call_model(inputs, echo_model).drop("text")), "results")
     empty = spark.createDataFrame([], ANNOTATIONS)
     _, new_ann = SM.apply_annotation_results(comments, empty, parsed)
     return new_ann

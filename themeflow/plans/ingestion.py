@@ -31,7 +31,7 @@ def _kept_sql(order: str, fill: bool = True, skip_existing: bool = True) -> tupl
     page = (f"""paged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS pn
   FROM cands) WHERE pn <= {POST_LIMIT})""" if not fill else "paged AS (SELECT * FROM cands)")
     return (CANDS, STORED, page, f"""firsts AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {order}) AS rn FROM paged
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY {order}) AS rn FROM paged
                  WHERE id IS NOT NULL AND id <> '') WHERE rn = 1)""",
             f"""fresh AS (SELECT * FROM firsts {"WHERE id NOT IN (SELECT id FROM stored)" if skip_existing else ""})""",
             f"""st AS (SELECT *, CASE WHEN {low_quality('author', 'selftext')} THEN 'skipped' ELSE 'pending' END AS status

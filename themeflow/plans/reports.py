@@ -179,7 +179,8 @@ def q_analysis_frame(spark, sf):
 
 
 @query("compact_themes", Q.with_(Q.ANNOTATIONS, f"""c AS (
-  SELECT consolidated_tag, count(*) AS n FROM annotations GROUP BY consolidated_tag)""", f"""top AS (
+  SELECT consolidated_tag, count(*) AS n FROM annotations WHERE consolidated_tag IS NOT NULL
+  GROUP BY consolidated_tag)""", f"""top AS (
   SELECT consolidated_tag FROM c ORDER BY n DESC, lower(consolidated_tag), consolidated_tag LIMIT {S.COMPACT_TOP_N})""") + f"""
 SELECT a.item_id, CASE WHEN t.consolidated_tag IS NOT NULL THEN a.consolidated_tag ELSE '{S.OTHER_THEMES}' END
          AS theme_display

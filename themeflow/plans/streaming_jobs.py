@@ -30,8 +30,9 @@ FROM events GROUP BY ALL""")
 def q_stream_counts(spark, sf):
     path = f"{sf.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(path).schema
-    # the file source watches a folder; pick the events file inside it
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+    # as a pattern the path may be one file or a folder of part files; as a
+    # plain path Spark's file stream takes folders only
+    events = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
     events = events.withColumn("sentiment_raw", F.col("value") / 50 - 1)
     counts = ST.theme_counts_stream(events, "ts", "event_type", "sentiment_raw")
     root = _scratch(spark, "theme-counts")

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, app_name: str = "themeflow",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
     """A session with AQE on. On a cluster pass ``master=None`` and let the
-    launcher decide; locally we size shuffles to the core count."""
+    launcher decide, also on the number of shuffle partitions; a local session
+    sizes shuffles to the core count. ``checkpoint_dir`` is the folder that
+    driver and executors share; a cluster needs one."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    cores = os.cpu_count() or 8
     builder = (
         builder
         .config("spark.sql.adaptive.enabled", "true")
@@ -24,24 +25,36 @@ def build_session(master: str | None = None, app_name: str = "themeflow",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    if master and master.startswith("local"):
+    local = bool(master) and _is_local(master)
+    if local:
         builder = builder.config("spark.driver.memory", "16g")
+    if shuffle_partitions or local:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.cpu_count() or 8))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def _is_local(master: str) -> bool:
+    """Driver and executors are one process (not so for ``local-cluster``)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the launcher sets it to a shared file system; we only pick a
-    folder of our own when it is unset (local runs and tests)."""
+    On a cluster the launcher sets it to a shared file system, and it is an
+    error if it is unset: executors would write where no other machine can
+    read. Only a local session gets a folder of its own."""
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not _is_local(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="themeflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc = spark.sparkContext
@@ -50,13 +63,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder: survives executor loss,
-    unlike a local checkpoint, and bounds the plan of iterative jobs."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read
     it back. Cuts lineage like ``checkpoint()``, computes the frame once,

@@ -20,7 +20,9 @@ from pyspark.sql import types as T
 
 from themeflow import schemas as S
 
-PAGE_ROW_OFFSET = 1_000_000  # rank = page_no * offset + position in the page
+# rank = page_no * offset + position in the page; positions are below 2**31,
+# so ranks of pages never overlap
+PAGE_ROW_OFFSET = 1 << 31
 
 _SEARCH_FILE = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -51,10 +53,15 @@ _COMMENT_COLS = [f.name for f in S.COMMENT_FIELDS.fields]
 
 def search_pages(spark: SparkSession, path: str) -> DataFrame:
     """Direct/browser search pages -> one row per page with its posts array."""
-    df = spark.read.schema(_SEARCH_FILE).json(path)
-    return df.select("query_id", "source_priority", "page_no",
-                     F.transform(F.coalesce(F.col("data.children"), F.array()), lambda c: c["data"]).alias("posts"),
-                     F.col("data.after").alias("after"))
+    return search_page_rows(spark.read.schema(_SEARCH_FILE).json(path))
+
+
+def search_page_rows(raw: DataFrame, *more: str) -> DataFrame:
+    """Parsed search payloads (of a table or a stream) -> page rows, with
+    ``more`` columns as they are."""
+    return raw.select("query_id", "source_priority", "page_no",
+                      F.transform(F.coalesce(F.col("data.children"), F.array()), lambda c: c["data"]).alias("posts"),
+                      F.col("data.after").alias("after"), *more)
 
 
 def archive_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -74,12 +81,13 @@ def choose_search_source(pages: DataFrame) -> DataFrame:
     return pages.join(chosen, ["query_id", "source_priority"], "left_semi")
 
 
-def post_candidates(pages: DataFrame) -> DataFrame:
-    """Explode chosen pages into post candidates with a search rank."""
-    ex = pages.select("query_id", "source_priority", "page_no", F.posexplode("posts").alias("pos", "p"))
+def post_candidates(pages: DataFrame, *more: str) -> DataFrame:
+    """Explode chosen pages into post candidates with a search rank (a page
+    without a number is the first). ``more`` columns are kept."""
+    ex = pages.select("query_id", "source_priority", "page_no", *more, F.posexplode("posts").alias("pos", "p"))
     return ex.select(
-        "query_id", "source_priority",
-        (F.col("page_no").cast("long") * PAGE_ROW_OFFSET + F.col("pos")).alias("rank"),
+        "query_id", "source_priority", *more,
+        (F.coalesce("page_no", F.lit(1)).cast("long") * PAGE_ROW_OFFSET + F.col("pos")).alias("rank"),
         *[F.col(f"p.{c}").alias(c) for c in _POST_COLS])
 
 

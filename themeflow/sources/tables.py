@@ -3,7 +3,9 @@
 Plain parquet has no UPDATE: every change writes the whole new table as a
 new version directory ``<root>/v=<n>``; a version counts once Spark's commit
 marker ``_SUCCESS`` is in it, and readers take the highest committed one. A
-writer never overwrites the version it reads. Paths go through the Hadoop
+writer never overwrites the version it reads. A writer that may repeat itself
+(a stream's batch) names its write: the name is part of the directory,
+``v=<n>@<name>``, so it is committed with the version, whoever else writes. Paths go through the Hadoop
 FileSystem of the session, so the same code runs on HDFS or object stores.
 """
 
@@ -18,8 +20,7 @@ from pyspark.sql import types as T
 def workspace_name(name: str | None) -> str:
     """Workspace names keep letters, digits, ``_`` and ``-``; empty ->
     ``default``."""
-    cleaned = "".join(c for c in (name or "") if c.isalnum() or c in "_-").strip()
-    return cleaned or "default"
+    return re.sub(r"[^\w-]+", "", name or "") or "default"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -32,23 +33,33 @@ class VersionedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def versions(self) -> list[int]:
+    def _committed(self) -> dict[int, str | None]:
+        """Version -> name of the write (None: unnamed)."""
         fs, p, jvm = _fs(self.spark, self.root)
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            m = re.fullmatch(r"v=(\d+)", st.getPath().getName())
+        out = {}
+        for st in fs.listStatus(p) if fs.exists(p) else []:
+            m = re.fullmatch(r"v=(\d+)(?:@(.+))?", st.getPath().getName())
             if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                out.append(int(m.group(1)))
-        return sorted(out)
+                out[int(m.group(1))] = m.group(2)
+        return out
+
+    def versions(self) -> list[int]:
+        return sorted(self._committed())
 
     def latest(self) -> int | None:
         v = self.versions()
         return v[-1] if v else None
 
+    def holds(self, name: str) -> bool:
+        """Whether a write of this name is committed."""
+        return name in self._committed().values()
+
     def path(self, version: int) -> str:
-        return f"{self.root}/v={version}"
+        name = self._committed().get(version)
+        return self._path(version, name)
+
+    def _path(self, version: int, name: str | None) -> str:
+        return f"{self.root}/v={version}" + (f"@{name}" if name else "")
 
     def read(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
         version = self.latest() if version is None else version
@@ -58,16 +69,20 @@ class VersionedTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(self.path(version))
 
-    def write(self, df: DataFrame, version: int | None = None) -> int:
+    def write(self, df: DataFrame, version: int | None = None, name: str | None = None) -> int:
         """Write ``df`` as a new version (default: latest + 1). Writing an
-        already committed version is a no-op, so a replayed batch is
-        idempotent."""
+        already committed version, or a committed ``name`` again, does
+        nothing."""
+        committed = self._committed()
+        if name:
+            for v, n in committed.items():
+                if n == name:
+                    return v
         if version is None:
-            latest = self.latest()
-            version = 0 if latest is None else latest + 1
-        if version in self.versions():
+            version = max(committed, default=-1) + 1
+        if version in committed:
             return version
-        df.write.mode("overwrite").parquet(self.path(version))
+        df.write.mode("overwrite").parquet(self._path(version, name))
         return version
 
     def init(self, schema: T.StructType) -> int:

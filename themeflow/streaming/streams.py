@@ -1,10 +1,11 @@
 """Streaming ingest, keyed upserts and windowed theme counts.
 
 * ``ingest_stream``: payload files arriving in a folder -> post rows with
-  their quality status, de-duplicated by id within the watermark.
+  their quality status, de-duplicated by id within a watermark on the arrival
+  of the files (posts do not come in the order of their creation).
 * ``upsert_batches``: ``foreachBatch`` sink merging each micro-batch into a
-  versioned table; the version number is derived from the batch id, so a
-  replayed batch (after a failure) rewrites nothing.
+  versioned table; the write is named after stream and batch, so a replayed
+  batch changes nothing and versions of other writers do not matter.
 * ``theme_counts_stream``: tumbling-window counts per theme and sentiment
   bucket with a watermark bounding the state; written in update mode into a
   keyed table, the final table equals the batch aggregate.
@@ -24,35 +25,42 @@ from themeflow.sources.tables import VersionedTable
 
 
 def ingest_stream(spark: SparkSession, search_dir: str, watermark: str = "1 day") -> DataFrame:
-    """Search payload files -> post rows (status by quality), duplicates of
-    an id dropped within the watermark on the post's creation time."""
+    """Search payload files -> post rows (status by quality). A post that
+    comes again within the watermark after its arrival is dropped; later
+    repeats are for the keyed upsert. No post is ever too old."""
     raw = spark.readStream.schema(PL._SEARCH_FILE).json(search_dir)
-    posts = raw.select("query_id", F.posexplode(F.transform(F.coalesce("data.children", F.array()),
-                                                             lambda c: c["data"])).alias("pos", "p"))
-    posts = posts.select("query_id", "pos", *[F.col(f"p.{c.name}").alias(c.name) for c in PL.S.POST_FIELDS.fields])
+    arrived = raw.withColumn("event_time", F.col("_metadata.file_modification_time"))
+    posts = PL.post_candidates(PL.search_page_rows(arrived, "event_time"), "event_time")
     posts = with_defaults(posts).filter(F.col("id").isNotNull() & (F.col("id") != ""))
     posts = posts.withColumn("status", initial_status("author", "selftext"))
-    posts = posts.withColumn("event_time", F.timestamp_seconds(F.col("created_utc")))
     return posts.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["id"])
 
 
-def upsert_batches(table: VersionedTable, key: str | list[str], schema: T.StructType):
-    """A ``foreachBatch`` function merging each batch into ``table``."""
+def upsert_batches(table: VersionedTable, key: str | list[str], schema: T.StructType, stream: str = "stream",
+                   skip_existing: bool = False):
+    """A ``foreachBatch`` function merging each batch into ``table``.
+
+    ``stream`` names the stream: it and the batch id are committed with the
+    version. With ``skip_existing`` stored rows stay as they are and only new
+    keys come in (re-ingesting a post does not reset its status)."""
     keys = [key] if isinstance(key, str) else list(key)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        version = batch_id + 1
-        if version in table.versions():
-            return  # this batch was committed before a restart
-        prev = [v for v in table.versions() if v < version]
-        base = table.read(prev[-1]) if prev else batch.sparkSession.createDataFrame([], schema)
+        name = f"{stream}-{batch_id}"
+        if table.holds(name):
+            # committed before a restart; the batch must still be computed,
+            # or the stream's state of it would be missing
+            batch.write.format("noop").mode("overwrite").save()
+            return
         upd = batch.select(*schema.fieldNames())
-        if len(keys) == 1:
-            merged = upsert(base, upd.dropDuplicates(keys), keys[0])
+        if table.latest() is None:
+            merged = upd.dropDuplicates(keys)
+        elif skip_existing:
+            base = table.read()
+            merged = base.unionByName(upd.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti"))
         else:
-            kept = base.join(upd.select(*keys), keys, "left_anti")
-            merged = kept.unionByName(upd.dropDuplicates(keys))
-        table.write(merged, version)
+            merged = upsert(table.read(), upd, keys)
+        table.write(merged, name=name)
 
     return merge
 
