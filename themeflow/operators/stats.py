@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeflow import schemas as S
@@ -43,22 +43,19 @@ def sentiment_distribution(ann: DataFrame, scope_names: dict[str, str] | None =
     percent within the scope (0.0 for an empty scope). Other item types count
     in ``all`` only.
 
-    One pass over the items to (item_type, bucket) counts - a tiny frame - and
-    the ``all`` scope is summed from it: a two-set grouping without a second
-    scan."""
+    One pass over the items to (item_type, bucket) counts; each of these few
+    rows then counts in its own scope and in ``all``."""
     names = scope_names or {"all": "all", "post": "post", "comment": "comment"}
     spark = ann.sparkSession
     cells = (ann.select(F.col("item_type"), sentiment_bucket("sentiment").alias("sentiment"))
              .groupBy("item_type", "sentiment").agg(F.count(F.lit(1)).alias("n")))
-    typed = cells.filter(F.col("item_type").isin(S.ITEM_TYPES)).select(
-        F.col("item_type").alias("scope"), "sentiment", "n")
-    everything = cells.groupBy("sentiment").agg(F.sum("n").alias("n")).withColumn("scope", F.lit("all"))
-    counts = typed.unionByName(everything)
+    scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("item_type").isin(S.ITEM_TYPES), F.col("item_type"))))
+    counts = (cells.select(F.explode(scopes).alias("scope"), "sentiment", "n")
+              .groupBy("scope", "sentiment").agg(F.sum("n").alias("n")))
     scaffold = spark.createDataFrame(
         [(s, b) for s in ("all", "post", "comment") for b in S.SENTIMENT_BUCKETS], "scope string, sentiment double")
     j = scaffold.join(counts, ["scope", "sentiment"], "left").fillna(0, ["n"])
-    totals = j.groupBy("scope").agg(F.sum("n").alias("__t"))
-    j = j.join(totals, "scope")
+    j = j.withColumn("__t", F.sum("n").over(Window.partitionBy("scope")))       # fifteen rows
     mapping = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
     return j.select(
         mapping[F.col("scope")].alias("scope"), "sentiment", sentiment_label("sentiment").alias("sentiment_label"),

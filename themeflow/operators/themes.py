@@ -2,9 +2,11 @@
 
 Every report first aggregates item-sized data down to one row per theme
 (partial + final hash aggregation, so a hot theme never lands whole in one
-task), and only then orders or ranks. Top-n ranks run after a distributed
-top-k (``orderBy().limit()`` -> TakeOrderedAndProject); an unbounded ranking
-uses the range-partitioned running sum of ``ordering``.
+task), and only then orders or ranks. Top-n ranks come from one rollup, whose
+grand total sorts before the themes: a distributed top-k of n + 1 rows
+(``orderBy().limit()`` -> TakeOrderedAndProject) has all a report needs, in one
+scan and without a job of its own. An unbounded ranking uses the
+range-partitioned running sum of ``ordering``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ from themeflow.functions.text import (clean_label, clean_text, percent_1dp, sent
                                       sentiment_label)
 from themeflow.operators.filters import chart_theme_rows, theme_rows
 from themeflow.operators.ordering import with_running_sum
-from themeflow.session import materialize
 
 
 def theme_order(count_col: str, theme_col: str) -> list[Column]:
@@ -25,30 +26,27 @@ def theme_order(count_col: str, theme_col: str) -> list[Column]:
     return [F.col(count_col).desc(), F.lower(F.col(theme_col)).asc(), F.col(theme_col).asc()]
 
 
-def _rank_and_accumulate(counts: DataFrame, count_col: str, theme_col: str, top_n: int | None,
-                         rank_col: str, cum_col: str) -> DataFrame:
+def _ranked(rows: DataFrame, group: Column, name: str, aggregates: list[Column], count_col: str,
+            top_n: int | None) -> DataFrame:
+    """Per group: the aggregates, ``__rank`` by count, ``__cum`` (running
+    count) and ``__total`` (count over all groups, also those cut off)."""
     if top_n is not None and top_n < 0:
         raise ValueError("top_n must be >= 0 (0 or None keeps all themes)")
-    order = theme_order(count_col, theme_col)
-    if top_n:
-        top = counts.orderBy(*order).limit(top_n)
-        w = Window.orderBy(*order)
-        return (top.withColumn(rank_col, F.row_number().over(w))
-                .withColumn(cum_col, F.sum(count_col).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    return with_running_sum(counts, count_col, order, cum_col, index_name=rank_col)
-
-
-def _total(counts: DataFrame, col: str, name: str):
-    """Grand total of a (materialised, theme-sized) per-theme frame as a
-    literal column: one tiny aggregate job, no join."""
-    value = counts.agg(F.sum(col)).first()[0]
-    return F.lit(value).cast("long").alias(name)
-
-
-def _once(counts: DataFrame) -> DataFrame:
-    """The per-theme frame feeds both the ranking and the grand total; write
-    it once (theme-sized) so the item-sized input is scanned once, not twice."""
-    return materialize(counts, "theme-counts")
+    rows = rows.withColumn(name, group)
+    order = theme_order(count_col, name)
+    if not top_n:
+        counts = rows.groupBy(name).agg(*aggregates)
+        ranked = with_running_sum(counts, count_col, order, "__cum", index_name="__rank")
+        # the ranked frame is stored: its total is no second scan of the items
+        return ranked.withColumn("__total", ranked.agg(F.max("__cum")).scalar())
+    both = rows.rollup(name).agg(*aggregates, F.grouping_id().alias("__all"))
+    order = [F.col("__all").desc(), *order]
+    w = Window.orderBy(*order)          # over top_n + 1 rows, the first of which is the grand total
+    top = (both.orderBy(*order).limit(top_n + 1)
+           .withColumn("__total", F.first(count_col).over(w))
+           .withColumn("__rank", F.row_number().over(w) - 1)
+           .withColumn("__cum", F.sum(count_col).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__total")))
+    return top.filter(F.col("__all") == 0).drop("__all")
 
 
 def pareto(ann: DataFrame, top_n: int | None = S.DEFAULT_TOP_N, include_reaction_only: bool = False,
@@ -59,27 +57,21 @@ def pareto(ann: DataFrame, top_n: int | None = S.DEFAULT_TOP_N, include_reaction
     dirty twins of one tag stay separate rows. Shares are against the total
     over all themes, also those cut by ``top_n``."""
     rows = theme_rows(ann, include_reaction_only, include_unclustered)
-    counts = rows.groupBy(F.col("consolidated_tag").alias("__tag")).agg(
+    out = _ranked(rows, F.col("consolidated_tag"), "__tag", [
         F.count(F.lit(1)).alias("items_in_theme"),
         F.count_if(F.col("item_type") == "post").alias("post_items"),
         F.count_if(F.col("item_type") == "comment").alias("comment_items"),
-    )
-    counts = _once(counts)
-    total = _total(counts, "items_in_theme", "total_clustered_items")
-    ranked = _rank_and_accumulate(counts, "items_in_theme", "__tag", top_n, "rank", "cumulative_items")
-    out = ranked.withColumn("total_clustered_items", total)
-    share = F.col("items_in_theme") / F.col("total_clustered_items") * 100
-    cum_share = F.col("cumulative_items") / F.col("total_clustered_items") * 100
+    ], "items_in_theme", top_n)
     return out.select(
-        F.col("rank").cast("int").alias("rank"),
+        F.col("__rank").cast("int").alias("rank"),
         clean_label("__tag").alias("theme"),
         F.col("items_in_theme"),
-        share.alias("share_percent"),
-        F.col("cumulative_items").cast("long").alias("cumulative_items"),
-        cum_share.alias("cumulative_share_percent"),
+        (F.col("items_in_theme") / F.col("__total") * 100).alias("share_percent"),
+        F.col("__cum").cast("long").alias("cumulative_items"),
+        (F.col("__cum") / F.col("__total") * 100).alias("cumulative_share_percent"),
         F.col("post_items"),
         F.col("comment_items"),
-        F.col("total_clustered_items"),
+        F.col("__total").cast("long").alias("total_clustered_items"),
     )
 
 
@@ -99,9 +91,8 @@ def dominance_summary(ann: DataFrame, include_reaction_only: bool = False,
                  F.when(F.col("__expl") != "", F.struct((-F.col("__n")).alias("n"), F.col("__expl").alias("e"))))
         .alias("__mode"),
     )
-    per_tag = _once(per_tag)
-    total = _total(per_tag, "__count", "__total")
-    out = per_tag.withColumn("__total", total)
+    # the total reads the shuffle of ``pairs`` again, not the items
+    out = per_tag.withColumn("__total", pairs.agg(F.sum("__n")).scalar())
     return out.select(
         "consolidated_tag",
         percent_1dp(F.col("__count") / F.col("__total") * 100).alias("cluster_dominance_percent"),
@@ -120,12 +111,10 @@ def theme_counts(ann: DataFrame) -> DataFrame:
 def dominance_chart(ann: DataFrame, top_n: int = S.DEFAULT_TOP_N) -> DataFrame:
     """Bar and Pareto chart data: top-n themes, percent of all chart rows and
     cumulative percent."""
-    counts = _once(theme_counts(ann))
-    total = _total(counts, "count", "__total")
-    ranked = _rank_and_accumulate(counts, "count", "theme", top_n, "rank", "__cum")
-    out = ranked.withColumn("__total", total)
+    out = _ranked(chart_theme_rows(ann), clean_label("consolidated_tag"), "theme",
+                  [F.count(F.lit(1)).alias("count")], "count", top_n)
     return out.select(
-        F.col("rank").cast("int").alias("rank"), "theme", "count",
+        F.col("__rank").cast("int").alias("rank"), "theme", "count",
         (F.col("count") / F.col("__total") * 100).alias("percent"),
         (F.col("__cum") / F.col("__total") * 100).alias("cumulative_percent"),
     )
@@ -148,13 +137,12 @@ def sentiment_by_theme(ann: DataFrame, top_n: int = S.DEFAULT_TOP_N) -> DataFram
     rows = chart_theme_rows(ann).select(
         clean_label("consolidated_tag").alias("theme"),
         sentiment_bucket("sentiment").alias("sentiment"))
-    cells = rows.groupBy("theme", "sentiment").agg(F.count(F.lit(1)).alias("count"))
-    per_theme = cells.groupBy("theme").agg(F.sum("count").alias("theme_items"))
+    in_bucket = lambda b: F.struct(F.lit(b).alias("sentiment"), F.count_if(F.col("sentiment") == b).alias("count"))
+    per_theme = rows.groupBy("theme").agg(
+        F.count(F.lit(1)).alias("theme_items"),
+        F.array(*[in_bucket(b) for b in S.SENTIMENT_BUCKETS]).alias("__cells"))
     top = per_theme.orderBy(*theme_order("theme_items", "theme")).limit(top_n)
-    # zero-filled grid: each top theme times the five buckets (array explode, no join)
-    scaffold = top.select("theme", "theme_items",
-                          F.explode(F.array(*[F.lit(b) for b in S.SENTIMENT_BUCKETS])).alias("sentiment"))
-    out = scaffold.join(cells, ["theme", "sentiment"], "left").fillna(0, ["count"])
+    out = top.select("theme", "theme_items", F.inline("__cells"))
     return out.select(
         "theme", "theme_items", "sentiment", sentiment_label("sentiment").alias("sentiment_label"),
         F.col("count"),

@@ -114,6 +114,15 @@ def q_search(spark, sf):
     return FL.search_items(B.conversation_candidates(spark, sf), **SEARCH).select("id", "title")
 
 
+@query("search_posts_expression", Q.with_(CANDS) + """SELECT id, title FROM cands WHERE
+  contains(lower(concat_ws(' ', title, selftext)), 'le') AND (contains(lower(concat_ws(' ', title, selftext)), 'eau la')
+  OR contains(lower(concat_ws(' ', title, selftext)), 'ou')) AND NOT (contains(lower(concat_ws(' ', title, selftext)), 'xyz')
+  OR contains(lower(concat_ws(' ', title, selftext)), 'vi'))""")
+def q_search_expression(spark, sf):
+    return FL.search_expression(B.conversation_candidates(spark, sf), '{LE} AND ("eau la" OR ou) NOT (xyz OR vi)').select(
+        "id", "title")
+
+
 AS_OF = 902_000_000.0  # 1998-07-31, inside the order date range
 
 

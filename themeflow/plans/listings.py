@@ -25,15 +25,28 @@ def q_listing_posts(spark, sf):
 @query("listing_comments_page", _listing_sql("comments", "body", "i.status = 'processed'")
        + "SELECT * FROM lst WHERE row_index BETWEEN 21 AND 30")
 def q_listing_page(spark, sf):
-    lst = BR.listing(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), "comment", status="Processed")
-    return BR.page(lst, 3)[0]
+    return BR.listing_page(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), "comment", 3,
+                           status="Processed")[0]
 
 
 @query("listing_comments_selection", _listing_sql("comments", "body")
        + "SELECT * FROM lst WHERE row_index IN (5, 12, 13, 14, 15, 20) OR row_index BETWEEN 35 AND 40")
 def q_listing_selection(spark, sf):
-    lst = BR.listing(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), "comment")
-    return BR.select_rows(lst, SELECTION)
+    return BR.listing_selection(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), "comment", SELECTION)
+
+
+@query("listing_comments_deep_selection", _listing_sql("comments", "body")
+       + "SELECT * FROM lst WHERE row_index BETWEEN 3 AND 4 OR row_index BETWEEN 5000 AND 5009 OR row_index >= 30000")
+def q_listing_deep(spark, sf):
+    """Positions beyond a top-k come from the global index."""
+    return BR.listing_selection(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), "comment",
+                                "5009-5000 3,4 30000-1000000000000")
+
+
+@query("listing_posts_without_theme", _listing_sql(
+    "posts", "title", "i.id NOT IN (SELECT item_id FROM annotations)") + "SELECT * FROM lst")
+def q_listing_unthemed(spark, sf):
+    return BR.listing(B.thread_posts(spark, sf), B.thread_annotations(spark, sf), "post", theme="None")
 
 
 @query("listing_comments_of_theme", _listing_sql(
