@@ -6,18 +6,25 @@ of at least t, then under *any* one order of all tokens the first
 part only if, under every order, it shares a prefix token with another
 document of a fitting size that passed the orders before:
 
-1. by hash. It also shows which tokens are common (a bounded list of the
+0. by hash. It shows which tokens are common (a bounded list of the
    ``common_tokens`` most frequent prefix tokens; any order is valid, the list
    only decides how good the next ones are);
-2. common tokens last, by how common, then by hash;
-3. the same with another hash, over the documents that passed order 2.
-
-Equal sets are one row from the start, under a 64-bit set id. Within the bucket
-of a prefix token no pairs are listed: a hub is tried with the rest, in a few
-rounds with different hubs, and links found join components. What remains is
-exact: members of one bucket whose sizes fit and whose components still differ
-are tried one with another, so no link between components is missed.
-Buckets are runs of a sorted partition, scanned in pieces of bounded size.
+1. common tokens last, by how common, then by hash;
+2. the same with another hash, over the documents that passed order 1.
+
+Equal sets are one row from the start, under a 64-bit set id. Rows of order 2
+carry a sketch: how many tokens fall in each of 64 parts of the hash space. The
+differences of two sketches add up to no more than the sets' symmetric
+difference, so most members of a bucket that only share a passage are told
+apart within the bucket, exactly; a finer sketch, with parts in proportion to
+the set, does the same for the pairs that are left.
+
+Within the bucket of a prefix token no pairs of similar sets are listed: a hub
+is tried with the rest, in a few rounds with different hubs, and links found
+join components. What remains is exact: members of one bucket whose sizes and
+sketches fit and whose components still differ are tried one with another, so
+no link between components is missed. Pairs are then tested for a shared prefix
+token under both orders, and for the index itself on the whole sets.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set has the distinct
 ``k``-word shingles, or the whole sequence if there are fewer words. A text
@@ -43,6 +50,10 @@ from themeflow.llm.stored import Stored
 NULL_ID = -(1 << 63)
 #: Members of a bucket that are looked at together.
 PIECE = 1 << 16
+#: Parts of the hash space that a sketch counts.
+PARTS = 64
+#: Hashes of the two orders that put common tokens last.
+SALTS = (1, 2)
 
 
 @dataclass(frozen=True)
@@ -52,6 +63,7 @@ class JoinSettings:
     common_tokens: int = 1 << 20
     common_from: int = 16
     hub_rounds: int = 2
+    broadcast_ids: int = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -97,35 +109,82 @@ def prefix(tokens: np.ndarray, percent: int, salt: int, common: np.ndarray | Non
     return tokens[np.lexsort((key, weight))[:p]]
 
 
-def _token_rows(sets: list[tuple[int, np.ndarray]], first) -> pa.RecordBatch:
-    """(token, sid, n) of the prefixes of these sets."""
-    parts = [first(t) for _, t in sets]
-    sizes = [len(p) for p in parts]
-    tokens = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return pa.RecordBatch.from_arrays([
-        pa.array(signed(tokens)), pa.array(np.repeat(np.array([s for s, _ in sets], np.int64), sizes)),
-        pa.array(np.repeat(np.array([len(t) for _, t in sets], np.int32), sizes))], ["token", "sid", "n"])
+_ROWS = "token long, sid long, n int"
+_SKETCHED = _ROWS + ", sketch binary"
+
 
+def sketch(tokens: np.ndarray, parts: int) -> bytes:
+    """Tokens in each of so many parts (a power of two) of the hash space;
+    255 stands for more, too."""
+    shift = np.uint64(65 - parts.bit_length())
+    return np.minimum(np.bincount((tokens >> shift).astype(np.int64), minlength=parts), 255).astype(
+        np.uint8).tobytes()
 
-_ROWS = "token long, sid long, n int"
 
+def fine_parts(n: int) -> int:
+    """Parts of the fine sketch of a set: about 16 tokens in each."""
+    return max(PARTS, 1 << max(0, (n // 16).bit_length()))
 
-def _distinct_sets(sets: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
-    return list({set_id(t): t for t in sets if len(t)}.items())
 
+def fine_gap(a: bytes, b: bytes) -> int:
+    """What two fine sketches say at least of the symmetric difference; the
+    finer one is folded to the parts of the other."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        if y.max() == 255:      # more, perhaps: sums would not be bounds
+            return 0
+        y = np.minimum(y.reshape(len(x), -1).sum(axis=1), 255)
+    return int(np.abs(x - y).sum())
 
-def prefix_rows(docs: DataFrame, s: JoinSettings, salt: int, common=None) -> DataFrame:
-    """Prefix tokens of all documents; ``common`` is a broadcast of
-    (sorted tokens, how common)."""
+
+def _longs(parts: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(
+        pa.array(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)),
+        pa.array(signed(np.concatenate(parts)) if parts else np.empty(0, np.int64)))
+
+
+def members(docs: DataFrame, s: JoinSettings) -> DataFrame:
+    """Per document: id, set id (null: empty), size, and the prefix by hash."""
     k, percent = s.k, s.percent
 
     def rows(batches):
-        table = common.value if common is not None else (None, None)
         for part in text_slices(batches):
-            yield _token_rows(_distinct_sets(shingle_sets(part.column("text"), k)),
-                              lambda t: prefix(t, percent, salt, *table))
+            sets = shingle_sets(part.column("text"), k)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
+                 pa.array([len(t) for t in sets], pa.int64()), _longs([prefix(t, percent, 0) for t in sets])],
+                ["doc_id", "sid", "n", "first"])
 
-    return docs.select("text").mapInArrow(rows, _ROWS)
+    return docs.mapInArrow(rows, "doc_id long, sid long, n long, first array<long>")
+
+
+def features(docs: DataFrame, s: JoinSettings, common) -> DataFrame:
+    """One row per set: id, size, sketch, prefixes under orders 1 and 2.
+    ``common`` is a broadcast of (sorted tokens, how common)."""
+    k, percent = s.k, s.percent
+
+    def rows(batches):
+        table = common.value
+        for part in text_slices(batches):
+            sets = list({set_id(t): t for t in shingle_sets(part.column("text"), k) if len(t)}.items())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in sets], pa.int64()), pa.array([len(t) for _, t in sets], pa.int32()),
+                 pa.array([sketch(t, PARTS) for _, t in sets], pa.binary()),
+                 pa.array([sketch(t, fine_parts(len(t))) for _, t in sets], pa.binary()),
+                 *(_longs([prefix(t, percent, z, *table) for _, t in sets]) for z in SALTS)],
+                ["sid", "n", "sketch", "fine", "first1", "first2"])
+
+    return docs.select("text").mapInArrow(
+        rows, "sid long, n int, sketch binary, fine binary, first1 array<long>, first2 array<long>").dropDuplicates(["sid"])
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """Numbers as an array, sketches as a matrix."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, PARTS)
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _runs(batches, make):
@@ -151,7 +210,7 @@ def _runs(batches, make):
     for batch in batches:
         for lo in range(0, batch.num_rows, PIECE):
             part = batch.slice(lo, PIECE)
-            held.append({c: part.column(c).to_numpy(zero_copy_only=False) for c in part.schema.names})
+            held.append({c: _values(part.column(c)) for c in part.schema.names})
             size += part.num_rows
             if size >= PIECE:
                 out = flush(True)
@@ -172,75 +231,82 @@ def _sorted_buckets(rows: DataFrame) -> DataFrame:
 
 
 def shared_rows(rows: DataFrame, s: JoinSettings) -> DataFrame:
-    """The rows (token, sid, n) that share their token with another set of a
-    fitting size: in the order of sizes, a neighbour fits if any set does."""
-    percent = s.percent
+    """The rows that share their token with another set of a fitting size: in
+    the order of sizes, a neighbour fits if any set does."""
+    percent, names = s.percent, rows.columns
 
     def scan(batches):
         def make(t):
-            same_token = t["token"][1:] == t["token"][:-1]
-            new = ~(same_token & (t["sid"][1:] == t["sid"][:-1]))
-            keep = np.r_[True, new]
-            token, sid, n = (t[c][keep] for c in ("token", "sid", "n"))
+            keep = np.r_[True, (t["token"][1:] != t["token"][:-1]) | (t["sid"][1:] != t["sid"][:-1])]
+            token, n = t["token"][keep], t["n"][keep]
             near = (token[1:] == token[:-1]) & _fits(n[:-1], n[1:], percent)
-            has = np.r_[near, False] | np.r_[False, near]
+            has = np.flatnonzero(keep)[np.r_[near, False] | np.r_[False, near]]
             return pa.RecordBatch.from_arrays(
-                [pa.array(token[has]), pa.array(sid[has]), pa.array(n[has])], ["token", "sid", "n"])
+                [pa.array([v.tobytes() for v in t[c][has]] if c == "sketch" else t[c][has]) for c in names], names)
         yield from _runs(batches, make)
 
-    return _sorted_buckets(rows).mapInArrow(scan, _ROWS)
+    return _sorted_buckets(rows).mapInArrow(scan, _SKETCHED if "sketch" in names else _ROWS)
+
+
+def _partners(first: np.ndarray, until: np.ndarray):
+    """(i, j) for every j in [first[i], until[i]), some PIECE pairs at a time."""
+    count = np.maximum(until - first, 0)
+    total = np.cumsum(count)
+    lo = 0
+    while lo < len(count):
+        before = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, before + 4 * PIECE, "right")))
+        n = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), n)
+        yield i, np.repeat(first[lo:hi], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        lo = hi
 
 
-def _split(token: np.ndarray) -> list[tuple[int, int]]:
-    cuts = np.flatnonzero(token[1:] != token[:-1]) + 1
-    return list(zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(token)].tolist()))
+def _sized(t: dict) -> np.ndarray:
+    """Members in one line: runs one after the other, sizes rising in each."""
+    run = np.cumsum(np.r_[0, t["token"][1:] != t["token"][:-1]])
+    return run.astype(np.int64) << 32
 
 
-def _hub_pairs(t: dict, salt: int, percent: int) -> pa.RecordBatch:
-    """A hub for each range of fitting sizes, with all members that fit it and
-    are in other components."""
-    left, right = [], []
+def _tries(t: dict, i: np.ndarray, j: np.ndarray, percent: int) -> pa.RecordBatch:
+    """Pairs of different components whose sketches allow the index."""
+    apart = t["comp"][i] != t["comp"][j]
+    i, j = i[apart], j[apart]
+    gap = np.abs(t["sketch"][i].astype(np.int16) - t["sketch"][j]).sum(axis=1, dtype=np.int64)
+    total = t["n"][i].astype(np.int64) + t["n"][j]
+    ok = _allowed(gap, total, percent)
+    return _pairs(t["sid"][i[ok]], t["sid"][j[ok]])
+
+
+def _allowed(gap: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    # 100 * both >= percent * (total - both), and gap <= total - 2 * both
+    return (100 + percent) * gap <= (100 - percent) * total
+
+
+def _hub_pairs(t: dict, salt: int, percent: int):
+    """A hub for each run and class of sizes, with all members that fit it."""
+    line, n = _sized(t), t["n"].astype(np.int64)
+    size_class = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
     mixed = mix64(t["sid"].view(np.uint64) ^ mix64(t["token"].view(np.uint64) + np.uint64(salt)))
-    for lo, hi in _split(t["token"]):
-        n, sid, comp = t["n"][lo:hi].astype(np.int64), t["sid"][lo:hi], t["comp"][lo:hi]
-        if hi - lo < 2 or (comp == comp[0]).all():
-            continue
-        i = 0
-        while i < len(n):
-            j = int(np.searchsorted(n, 100 * n[i] // percent, "right"))
-            hub = i + int(np.argmin(mixed[lo + i:lo + j]))
-            a = int(np.searchsorted(n, -(-percent * n[hub] // 100), "left"))
-            b = int(np.searchsorted(n, 100 * n[hub] // percent, "right"))
-            other = np.arange(a, b)[comp[a:b] != comp[hub]]
-            left.append(np.full(len(other), sid[hub]))
-            right.append(sid[other])
-            i = j
-    return _pairs(left, right)
+    order = np.lexsort((mixed, size_class, line))
+    new = np.r_[True, (line[order][1:] != line[order][:-1]) | (size_class[order][1:] != size_class[order][:-1])]
+    hub = order[new]
+    place = line + n
+    first = np.searchsorted(place, line[hub] - (-percent * n[hub] // 100), "left")
+    until = np.searchsorted(place, line[hub] + 100 * n[hub] // percent, "right")
+    for i, j in _partners(first, until):
+        yield _tries(t, hub[i], j, percent)
 
 
 def _cross_pairs(t: dict, percent: int):
-    """All members that fit and are in different components."""
-    for lo, hi in _split(t["token"]):
-        n, sid, comp = t["n"][lo:hi].astype(np.int64), t["sid"][lo:hi], t["comp"][lo:hi]
-        if hi - lo < 2 or (comp == comp[0]).all():
-            continue
-        left, right, held = [], [], 0
-        until = np.searchsorted(n, 100 * n // percent, "right")
-        for i in range(len(n)):
-            other = np.arange(i + 1, until[i])
-            other = other[comp[other] != comp[i]]
-            left.append(np.full(len(other), sid[i]))
-            right.append(sid[other])
-            held += len(other)
-            if held > PIECE:
-                yield _pairs(left, right)
-                left, right, held = [], [], 0
-        yield _pairs(left, right)
-
-
-def _pairs(left: list, right: list) -> pa.RecordBatch:
-    a = np.concatenate(left) if left else np.empty(0, np.int64)
-    b = np.concatenate(right) if right else np.empty(0, np.int64)
+    """All members of a run that fit."""
+    line, n = _sized(t), t["n"].astype(np.int64)
+    until = np.searchsorted(line + n, line + 100 * n // percent, "right")
+    for i, j in _partners(np.arange(1, len(n) + 1), until):
+        yield _tries(t, i, j, percent)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
@@ -252,24 +318,20 @@ def candidate_pairs(rows: DataFrame, components: DataFrame | None, s: JoinSettin
         rows = rows.withColumn("comp", F.col("sid"))
     else:
         rows = (rows.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left")
-                .select("token", "sid", "n", F.coalesce("component", "sid").alias("comp")))
-
-    def hubs(batches):
-        yield from _runs(batches, lambda t: _hub_pairs(t, salt, percent))
+                .withColumn("comp", F.coalesce("component", "sid")).drop("component"))
 
-    def cross(batches):
-        # runs in one piece here: pairs across pieces count too
+    def tries(batches):
         for t in _whole_runs(batches):
-            yield from _cross_pairs(t, percent)
+            yield from _hub_pairs(t, salt, percent) if salt is not None else _cross_pairs(t, percent)
 
-    return _sorted_buckets(rows).mapInArrow(hubs if salt is not None else cross, "a long, b long").distinct()
+    return _sorted_buckets(rows).mapInArrow(tries, "a long, b long").distinct()
 
 
 def _whole_runs(batches):
-    """Runs of equal tokens, many at a time. Members are 28 bytes each."""
+    """Runs of equal tokens, many at a time; a member has about 100 bytes."""
     held = None
     for batch in batches:
-        t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        t = {c: _values(batch.column(c)) for c in batch.schema.names}
         if held is not None:
             t = {c: np.concatenate([held[c], t[c]]) for c in t}
         if not len(t["token"]):
@@ -282,8 +344,43 @@ def _whole_runs(batches):
         yield held
 
 
-def _links(pairs: DataFrame, sets: DataFrame, s: JoinSettings, salts: tuple[int, ...], common) -> DataFrame:
-    """The pairs that share a prefix token under every order, and then have
+def _likely(pairs: DataFrame, feats: DataFrame, s: JoinSettings) -> DataFrame:
+    """Pairs that the fine sketches allow too."""
+    percent = s.percent
+    of = lambda x: feats.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}"))
+    wide = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b")
+
+    def test(batches):
+        for batch in batches:
+            gaps = np.fromiter((fine_gap(x.as_py(), y.as_py()) for x, y in
+                                zip(batch.column("f_a"), batch.column("f_b"))), np.int64, batch.num_rows)
+            total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(_allowed(gaps, total, percent)))
+
+    return wide.mapInArrow(test, "a long, b long")
+
+
+def _whole_sets(docs: DataFrame, owners: DataFrame, pairs: DataFrame, s: JoinSettings) -> DataFrame:
+    """(sid, tokens) of the sets in ``pairs``, each from one document."""
+    needed = Stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(owners, "sid"),
+                    "join-needed").read()
+    # a short list goes to the documents; a long one meets them in a shuffle
+    if needed.count() <= s.broadcast_ids:
+        needed = F.broadcast(needed)
+    k = s.k
+
+    def tokens(batches):
+        for part in text_slices(batches):
+            rows = [(i, t.tobytes()) for i, t in zip(part.column("sid").to_pylist(),
+                                                     shingle_sets(part.column("text"), k)) if set_id(t) == i]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()),
+                                              pa.array([t for _, t in rows], pa.binary())], ["sid", "tokens"])
+
+    return docs.join(needed, "doc_id").select("sid", "text").mapInArrow(tokens, "sid long, tokens binary")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, s: JoinSettings, common) -> DataFrame:
+    """The pairs that share a prefix token under both orders, and then have
     an index of at least ``percent``."""
     percent = s.percent
     of = lambda side: sets.select(F.col("sid").alias(side), F.col("tokens").alias(f"tokens_{side}"))
@@ -296,7 +393,7 @@ def _links(pairs: DataFrame, sets: DataFrame, s: JoinSettings, salts: tuple[int,
             for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b")):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 ok = all(len(np.intersect1d(prefix(x, percent, z, *table), prefix(y, percent, z, *table)))
-                         for z in salts)
+                         for z in SALTS)
                 if ok:
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok = 100 * both >= percent * (len(x) + len(y) - both)
@@ -318,67 +415,42 @@ def _common_tokens(rows: DataFrame, s: JoinSettings) -> tuple[np.ndarray, np.nda
 
 def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: str = "doc_id",
                    text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, sid, n; links: a, b), both stored. The links
-    connect exactly the sets that chains of similar pairs connect; pairs
-    already connected otherwise are not all listed."""
+    """(documents: doc_id, sid, n; sets that have links: node, component),
+    both stored. Components are exact; links within one are not all listed."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("doc_id"),
                        F.col(text_col).alias("text"))
-    k = s.k
-
-    def ids(batches):
-        for part in text_slices(batches):
-            sets = shingle_sets(part.column("text"), k)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
-                 pa.array([len(t) for t in sets], pa.int64())], ["doc_id", "sid", "n"])
-
-    members = Stored(docs.mapInArrow(ids, "doc_id long, sid long, n long"), "join-members")
-    salts = (1, 2)
-    common = spark.sparkContext.broadcast(_common_tokens(prefix_rows(docs, s, 0), s))
-    second = Stored(shared_rows(prefix_rows(docs, s, salts[0], common), s), "join-second")
-    # the sets of those that passed, each from the smallest document that has it
-    passed = (second.read().select("sid").distinct().join(members.read(), "sid")
-              .groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
-
-    def tokens(batches):
-        for part in text_slices(batches):
-            sets = _distinct_sets(shingle_sets(part.column("text"), k))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in sets], pa.int64()), pa.array([t.tobytes() for _, t in sets], pa.binary())],
-                ["sid", "tokens"])
-
-    texts = docs.join(passed.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = texts.mapInArrow(tokens, "sid long, tokens binary").groupBy("sid").agg(F.first("tokens").alias("tokens"))
-    sets = Stored(sets, "join-sets")
-    percent = s.percent
-
-    def third(batches):
-        table = common.value
-        for part in text_slices(batches, "tokens"):
-            own = [(i, np.frombuffer(t, np.uint64)) for i, t in
-                   zip(part.column("sid").to_pylist(), part.column("tokens").to_pylist())]
-            yield _token_rows(own, lambda t: prefix(t, percent, salts[1], *table))
-
-    passed_sets = sets.read().join(second.read().select("sid").distinct(), "sid", "left_semi")
-    rows = Stored(shared_rows(passed_sets.mapInArrow(third, _ROWS), s), "join-third")
+    own = Stored(members(docs, s), "join-members")
+    owners = (own.read().filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+    prefixes = own.read().select(F.explode("first").alias("token"))
+    common = spark.sparkContext.broadcast(_common_tokens(prefixes, s))
+    feats = Stored(features(docs, s, common), "join-features")
+    one = feats.read().select(F.explode("first1").alias("token"), "sid", "n")
+    passed = Stored(shared_rows(one, s).select("sid").distinct(), "join-passed")
+    two = (feats.read().join(passed.read(), "sid", "left_semi")
+           .select(F.explode("first2").alias("token"), "sid", "n", "sketch"))
+    rows = Stored(shared_rows(two, s), "join-rows")
+    passed.drop()
     links, found = spark.createDataFrame([], "a long, b long"), None
     for salt in [*range(1, s.hub_rounds + 1), None]:
-        pairs = Stored(candidate_pairs(rows.read(), found, s, salt), "join-pairs")
-        links = links.unionByName(Stored(_links(pairs.read(), sets.read(), s, salts, common), "join-links").read())
-        pairs.drop()
+        tries = Stored(candidate_pairs(rows.read(), found, s, salt), "join-tries")
+        pairs = Stored(_likely(tries.read(), feats.read(), s), "join-pairs")
+        sets = Stored(_whole_sets(docs, owners, pairs.read(), s), "join-sets")
+        links = links.unionByName(Stored(_links(pairs.read(), sets.read(), s, common), "join-links").read())
+        for done in (tries, pairs, sets):
+            done.drop()
         found = connected_components(links).read()
-    second.drop()
     rows.drop()
-    return members.read(), found
+    feats.drop()
+    return own.read().drop("first"), found
 
 
 def similar_documents(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest
     id that links reach, itself included)."""
-    members, found = set_components(docs, s, id_col, text_col)
-    placed = (members.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
+    own, found = set_components(docs, s, id_col, text_col)
+    placed = (own.join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
               .withColumn("component", F.coalesce("component", "sid")))
     least = (placed.filter("sid is not null").groupBy("component").agg(F.min("doc_id").alias("least")))
     real = lambda c: F.when(c != F.lit(NULL_ID), c)
