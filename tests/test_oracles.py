@@ -6,15 +6,13 @@ import __spark_entry__ as E
 from oracle_compare import compare
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"density_clusters", "cluster_themes"}
 
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_query_matches_oracle(spark, name):
-    if name in SLOW:
-        pytest.skip("covered by test_density")
     info = compare(spark, SF, name, E.queries()[name], E.oracle_sql().get(name))
-    assert info["ok"] in (True, None), info
+    # without SQL the query must run; its own tests hold it against brute force
+    assert info["ok"] is (True if name in E.oracle_sql() else None), info
 
 
 def test_entry_runs(spark):
