@@ -113,6 +113,27 @@ def test_embedder_and_labeller_are_called_once_per_item(spark):
     assert embedded.value == 24 and labelled.value == 2
 
 
+def test_attempts_are_counted_until_none_is_left(spark):
+    from themeflow.operators.annotate import count_attempts, retry_queue
+    calls = spark.createDataFrame([("a", "429 rate limit"), ("b", None), ("c", "bad answer")], "item_id string, error string")
+    done = count_attempts(calls)
+    for left in (1, 1, 0):
+        again = retry_queue(done)
+        assert [r.item_id for r in again.collect()] == ["a"] * left
+        done = count_attempts(calls.filter("item_id = 'a'"), done)
+
+
+def test_payloads_through_another_reader(spark):
+    asked = []
+
+    def reader(session, schema, path):
+        asked.append(path)
+        line = '{"query_id": "q", "source_priority": 1, "page_no": 1, "data": {"children": [{"data": {"id": "a"}}]}}'
+        return session.read.schema(schema).json(session.sparkContext.parallelize([line]))
+    got = PL.read_post_candidates(spark, "store://key", reader=reader)
+    assert [r.id for r in got.collect()] == ["a"] and asked == ["store://key"]
+
+
 def test_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, key, default=None):

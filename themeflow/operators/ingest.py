@@ -113,6 +113,11 @@ def _salted(df: DataFrame, k: int, group: str, order: Order) -> DataFrame:
             .filter(F.col("__part") <= k).drop("__salt", "__part"))
 
 
+#: Comments of a thread: as listed, or for archive layouts by score.
+THREAD_ORDER: Order = [("pos", False), ("id", False)]
+ARCHIVE_ORDER: Order = [("score", True), ("pos", False), ("id", False)]
+
+
 def first_k(df: DataFrame, k: int, group: str, order: Order) -> DataFrame:
     """First ``k`` rows per group in ``order``, for any k."""
     df = _salted(df, k, group, order)
@@ -153,7 +158,7 @@ def ingest_comments(comment_cands: DataFrame, kept_posts: DataFrame,
     if kind_filter and "kind" in c.columns:
         c = c.filter(F.col("kind") == "t1")
     c = c.join(kept_posts.select(F.col("id").alias("post_id")).distinct(), "post_id", "left_semi")
-    c = first_k(c, comment_limit, "post_id", order or [("pos", False), ("id", False)])
+    c = first_k(c, comment_limit, "post_id", order or THREAD_ORDER)
     return c.withColumn("status", initial_status("author", "body"))
 
 

@@ -85,6 +85,27 @@ def q_ingest_comments(spark, sf):
     return IN.to_comment_rows(c)
 
 
+@query("ingest_comments_by_score", Q.with_(*_kept_sql("rank, id"), """cc AS (
+  SELECT 'c' || conv_id::VARCHAR AS post_id, turn AS pos, 'c' || conv_id::VARCHAR || '-' || turn::VARCHAR AS id,
+         text AS body, CASE WHEN role = 'system' THEN 'AutoModerator' ELSE role END AS author,
+         turn::BIGINT AS score, (1700000000 + conv_id * 60 + turn)::DOUBLE AS created_utc
+  FROM conversations WHERE turn > 0)""", f"""capped AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY score DESC, pos, id) AS rn FROM cc
+                 WHERE post_id IN (SELECT id FROM kept)) WHERE rn <= {COMMENT_LIMIT})""") + f"""
+SELECT id, post_id, body, score, created_utc,
+       CASE WHEN {low_quality('author', 'body')} THEN 'skipped' ELSE 'pending' END AS status FROM capped""")
+def q_ingest_comments_by_score(spark, sf):
+    """The order of archive layouts: best score first."""
+    c = IN.ingest_comments(B.conversation_comment_candidates(spark, sf), _kept(spark, sf), COMMENT_LIMIT,
+                           order=IN.ARCHIVE_ORDER)
+    return IN.to_comment_rows(c)
+
+
+@query("ingest_posts_new", Q.with_(*_kept_sql("created_utc DESC, rank, id")) + _OUT)
+def q_ingest_posts_new(spark, sf):
+    return _post_out(_kept(spark, sf, sort="new"))
+
+
 @query("ingest_counters", Q.with_(*_kept_sql("rank, id"), """ex AS (
   SELECT query_id, count(*) AS skipped_existing FROM firsts WHERE id IN (SELECT id FROM stored) GROUP BY query_id)""",
                                    """ad AS (

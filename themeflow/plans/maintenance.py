@@ -155,6 +155,22 @@ def q_reset_specific_posts(spark, sf):
     return SM.reset_specific(posts, comments, ann, _picked_ids(spark, sf))[0]
 
 
+_COMMENT_COLS = "id, post_id, body, score, created_utc"
+
+
+@query("reset_processed_items", Q.with_(Q.COMMENTS) + f"""
+SELECT {_COMMENT_COLS}, CASE WHEN status = 'processed' THEN 'pending' ELSE status END AS status FROM comments""")
+def q_reset_processed_items(spark, sf):
+    return SM.reset_processed(B.thread_comments(spark, sf), B.thread_annotations(spark, sf))[0]
+
+
+@query("reset_specific_comments", Q.with_(Q.COMMENTS, _PICKED_SQL) + f"""
+SELECT {_COMMENT_COLS}, CASE WHEN id IN (SELECT id FROM picked) THEN 'pending' ELSE status END AS status FROM comments""")
+def q_reset_specific_comments(spark, sf):
+    posts, comments, ann = _tables(spark, sf)
+    return SM.reset_specific(posts, comments, ann, _picked_ids(spark, sf))[1]
+
+
 @query("clear_clustering", Q.with_(Q.ANNOTATIONS) + """
 SELECT * REPLACE (NULL::INTEGER AS cluster_id, NULL::VARCHAR AS consolidated_tag,
                   NULL::VARCHAR AS cluster_explanation) FROM annotations""")
@@ -194,6 +210,54 @@ def q_delete(spark, sf):
     return SM.delete_items(posts, B.thread_annotations(spark, sf), _failed_posts(spark, sf))[1]
 
 
+@query("delete_failed_posts_items", Q.with_(Q.POSTS) + """
+SELECT id, subreddit, title, selftext, score, created_utc, status FROM posts WHERE status <> 'failed' OR status IS NULL""")
+def q_delete_items(spark, sf):
+    posts = B.thread_posts(spark, sf)
+    return SM.delete_items(posts, B.thread_annotations(spark, sf), _failed_posts(spark, sf))[0]
+
+
+@query("bulk_annotate_items", Q.with_(Q.COMMENTS, f"""sel AS (
+  SELECT {Q.comment_id()} AS id FROM lineitem WHERE l_quantity = 1)""") + f"""
+SELECT {_COMMENT_COLS}, CASE WHEN id IN (SELECT id FROM sel) THEN 'processed' ELSE status END AS status FROM comments""")
+def q_bulk_items(spark, sf):
+    sel = B.table(spark, sf, "lineitem").filter(F.col("l_quantity") == 1).select(B.comment_id_of().alias("id"))
+    return SM.bulk_annotate(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), sel, "comment", 0.5, "tag",
+                            True)[0]
+
+
+@query("single_annotate_comments", Q.with_(Q.COMMENTS, Q.ANNOTATIONS, f"""sel AS (
+  SELECT id FROM comments WHERE id IN (SELECT {Q.comment_id()} FROM lineitem WHERE l_quantity = 1))""", """old AS (
+  SELECT * FROM annotations WHERE item_id NOT IN (
+    SELECT {id} FROM lineitem WHERE l_linenumber = 1))""".replace("{id}", Q.comment_id())) + f"""
+SELECT {A} FROM old WHERE item_id NOT IN (SELECT id FROM sel)
+UNION ALL
+SELECT s.id, coalesce(a.item_type, 'comment'), -0.5,
+       CASE WHEN a.item_id IS NULL THEN '{SM.S.SINGLE_NEW_SUMMARY}'
+            ELSE coalesce(nullif(a.summary, ''), '{SM.S.SINGLE_EDIT_SUMMARY}') END,
+       'my tag', true, 'my reason', NULL, NULL, a.cluster_id, a.embedding
+FROM sel s LEFT JOIN old a ON s.id = a.item_id""")
+def q_single(spark, sf):
+    """The single form, on items with an annotation and on new ones (those of
+    first lines have none here)."""
+    sel = B.table(spark, sf, "lineitem").filter(F.col("l_quantity") == 1).select(B.comment_id_of().alias("id"))
+    first = B.table(spark, sf, "lineitem").filter(F.col("l_linenumber") == 1).select(B.comment_id_of().alias("item_id"))
+    old = B.thread_annotations(spark, sf).join(first, "item_id", "left_anti")
+    return SM.bulk_annotate(B.thread_comments(spark, sf), old, sel, "comment", -0.5, "my tag", True, "my reason",
+                            bulk=False)[1]
+
+
+@query("update_embeddings", Q.with_(Q.ANNOTATIONS) + """
+SELECT item_id, CASE WHEN raw_tag IS NOT NULL THEN [length(raw_tag)::FLOAT, 1.0::FLOAT] END AS embedding FROM annotations""")
+def q_update_embeddings(spark, sf):
+    """Vectors computed for tagged rows; where the embedder failed (null) the
+    old value stays."""
+    ann = B.thread_annotations(spark, sf)
+    results = ann.select("item_id", F.when(F.col("raw_tag").isNotNull(), F.array(
+        F.length("raw_tag").cast("float"), F.lit(1.0).cast("float"))).alias("embedding"))
+    return SM.update_embeddings(ann, results).select("item_id", "embedding")
+
+
 @query("bulk_annotate_comments", Q.with_(Q.ANNOTATIONS, f"""sel AS (
   SELECT {Q.comment_id()} AS id FROM lineitem WHERE l_quantity = 1)""") + f"""
 SELECT {A} FROM annotations WHERE item_id NOT IN (SELECT id FROM sel)

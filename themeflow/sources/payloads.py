@@ -51,9 +51,15 @@ _POST_COLS = [f.name for f in S.POST_FIELDS.fields]
 _COMMENT_COLS = [f.name for f in S.COMMENT_FIELDS.fields]
 
 
-def search_pages(spark: SparkSession, path: str) -> DataFrame:
+def json_lines(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """The usual reader of payload files. The page functions take another one
+    with these arguments, for payloads kept elsewhere."""
+    return spark.read.schema(schema).json(path)
+
+
+def search_pages(spark: SparkSession, path: str, reader=json_lines) -> DataFrame:
     """Direct/browser search pages -> one row per page with its posts array."""
-    return search_page_rows(spark.read.schema(_SEARCH_FILE).json(path))
+    return search_page_rows(reader(spark, _SEARCH_FILE, path))
 
 
 def search_page_rows(raw: DataFrame, *more: str) -> DataFrame:
@@ -64,9 +70,9 @@ def search_page_rows(raw: DataFrame, *more: str) -> DataFrame:
                       F.col("data.after").alias("after"), *more)
 
 
-def archive_pages(spark: SparkSession, path: str) -> DataFrame:
+def archive_pages(spark: SparkSession, path: str, reader=json_lines) -> DataFrame:
     """Flat archive pages -> one row per page with its posts array."""
-    df = spark.read.schema(_ARCHIVE_FILE).json(path)
+    df = reader(spark, _ARCHIVE_FILE, path)
     return df.select("query_id", "source_priority", "page_no",
                      F.coalesce(F.col("data"), F.array()).alias("posts"), F.lit(None).cast("string").alias("after"))
 
@@ -92,13 +98,13 @@ def post_candidates(pages: DataFrame, *more: str) -> DataFrame:
 
 
 def read_post_candidates(spark: SparkSession, search_path: str | None = None,
-                         archive_path: str | None = None) -> DataFrame:
+                         archive_path: str | None = None, reader=json_lines) -> DataFrame:
     """All search sources of a run, fallback applied, as post candidates."""
     parts = []
     if search_path:
-        parts.append(search_pages(spark, search_path))
+        parts.append(search_pages(spark, search_path, reader))
     if archive_path:
-        parts.append(archive_pages(spark, archive_path))
+        parts.append(archive_pages(spark, archive_path, reader))
     if not parts:
         raise ValueError("no payload path given")
     pages = parts[0]
@@ -107,13 +113,14 @@ def read_post_candidates(spark: SparkSession, search_path: str | None = None,
     return post_candidates(choose_search_source(pages))
 
 
-def comment_pages(spark: SparkSession, path: str, comment_limit: int = S.DEFAULT_COMMENT_LIMIT) -> DataFrame:
+def comment_pages(spark: SparkSession, path: str, comment_limit: int = S.DEFAULT_COMMENT_LIMIT,
+                  reader=json_lines) -> DataFrame:
     """Direct comment listings -> (post_id, source, valid, comments).
 
     Valid = a JSON list of at least two elements; comments come from element
     two, ``kind = 't1'`` only, first ``comment_limit`` of them. The cap is an
     array slice inside the row: no shuffle and no per-post window."""
-    df = spark.read.schema(_COMMENT_FILE).json(path)
+    df = reader(spark, _COMMENT_FILE, path)
     parsed = F.from_json(F.col("payload"), S.COMMENT_LISTING)
     valid = parsed.isNotNull() & (F.size(parsed) >= 2)
     kids = F.coalesce(F.element_at(parsed, 2)["data"]["children"], F.array())
@@ -123,9 +130,9 @@ def comment_pages(spark: SparkSession, path: str, comment_limit: int = S.DEFAULT
                      .alias("comments"))
 
 
-def archive_comment_pages(spark: SparkSession, path: str) -> DataFrame:
+def archive_comment_pages(spark: SparkSession, path: str, reader=json_lines) -> DataFrame:
     """Archive comments -> same layout; no kind test, no client-side cap."""
-    df = spark.read.schema(_ARCHIVE_COMMENT_FILE).json(path)
+    df = reader(spark, _ARCHIVE_COMMENT_FILE, path)
     return df.select("post_id", "source_priority", F.col("data").isNotNull().alias("valid"),
                      F.col("data").alias("comments"))
 
@@ -145,12 +152,13 @@ def comment_candidates(pages: DataFrame) -> DataFrame:
 
 def read_comment_candidates(spark: SparkSession, comment_path: str | None = None,
                             archive_path: str | None = None,
-                            comment_limit: int = S.DEFAULT_COMMENT_LIMIT) -> tuple[DataFrame, DataFrame]:
+                            comment_limit: int = S.DEFAULT_COMMENT_LIMIT,
+                            reader=json_lines) -> tuple[DataFrame, DataFrame]:
     parts = []
     if comment_path:
-        parts.append(comment_pages(spark, comment_path, comment_limit))
+        parts.append(comment_pages(spark, comment_path, comment_limit, reader))
     if archive_path:
-        parts.append(archive_comment_pages(spark, archive_path))
+        parts.append(archive_comment_pages(spark, archive_path, reader))
     if not parts:
         raise ValueError("no payload path given")
     pages = parts[0]
