@@ -69,7 +69,7 @@ def test_sketches_never_exceed_the_difference():
         b = np.unique(np.r_[a[: n // 2], rng.integers(0, 1 << 63, m).astype(np.uint64) * np.uint64(2)])
         apart = len(np.setxor1d(a, b))
         assert J.fine_gap(J.sketch(a, J.fine_parts(len(a))), J.sketch(b, J.fine_parts(len(b)))) <= apart
-        assert J.fine_gap(J.sketch(a, 64), J.sketch(b, 64)) <= apart
+        assert J.fine_gap(J.sketch(a, J.PARTS), J.sketch(b, J.PARTS)) <= apart
 
 
 def test_runs_longer_than_a_piece(spark, monkeypatch):

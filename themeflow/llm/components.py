@@ -24,14 +24,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> Stored
         less = (now.join(near, "node")
                 .select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")))
         less = Stored(less, "cc-round")
-        to = less.read().select(F.col("node").alias("component"), F.col("component").alias("further"))
-        jumped = (less.read().join(to, "component", "left")
-                  .select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        new = Stored(jumped, "cc-labels")
-        moved = new.read().filter("component < old").limit(1).count()
         labels.drop()
-        less.drop()
-        labels = new
-        if not moved:
+        if not less.read().filter("component < old").limit(1).count():
             both.drop()
-            return labels
+            return less
+        to = less.read().select(F.col("node").alias("component"), F.col("component").alias("further"))
+        labels = Stored(less.read().join(to, "component", "left").select(
+            "node", F.least("component", F.coalesce("further", "component")).alias("component")), "cc-labels")
+        less.drop()

@@ -13,14 +13,14 @@ document of a fitting size that passed the orders before:
 2. the same with another hash, over the documents that passed order 1.
 
 Equal sets are one row from the start, under a 64-bit set id. Rows of order 2
-carry a sketch: how many tokens fall in each of 64 parts of the hash space. The
+carry a sketch: how many tokens fall in each of 256 parts of the hash space. The
 differences of two sketches add up to no more than the sets' symmetric
 difference, so most members of a bucket that only share a passage are told
 apart within the bucket, exactly; a finer sketch, with parts in proportion to
 the set, does the same for the pairs that are left.
 
 Within the bucket of a prefix token no pairs of similar sets are listed: a hub
-is tried with the rest, in a few rounds with different hubs, and links found
+is tried with the rest, and links found
 join components. What remains is exact: members of one bucket whose sizes and
 sketches fit and whose components still differ are tried one with another, so
 no link between components is missed. Pairs are then tested for a shared prefix
@@ -51,7 +51,7 @@ NULL_ID = -(1 << 63)
 #: Members of a bucket that are looked at together.
 PIECE = 1 << 16
 #: Parts of the hash space that a sketch counts.
-PARTS = 64
+PARTS = 256
 #: Hashes of the two orders that put common tokens last.
 SALTS = (1, 2)
 
@@ -62,7 +62,7 @@ class JoinSettings:
     percent: int = 85
     common_tokens: int = 1 << 20
     common_from: int = 16
-    hub_rounds: int = 2
+    hub_rounds: int = 1
     broadcast_ids: int = 1 << 18
 
 
@@ -110,7 +110,6 @@ def prefix(tokens: np.ndarray, percent: int, salt: int, common: np.ndarray | Non
 
 
 _ROWS = "token long, sid long, n int"
-_SKETCHED = _ROWS + ", sketch binary"
 
 
 def sketch(tokens: np.ndarray, parts: int) -> bytes:
@@ -231,9 +230,9 @@ def _sorted_buckets(rows: DataFrame) -> DataFrame:
 
 
 def shared_rows(rows: DataFrame, s: JoinSettings) -> DataFrame:
-    """The rows that share their token with another set of a fitting size: in
-    the order of sizes, a neighbour fits if any set does."""
-    percent, names = s.percent, rows.columns
+    """The rows (token, sid, n) that share their token with another set of a
+    fitting size: in the order of sizes, a neighbour fits if any set does."""
+    percent, names = s.percent, ["token", "sid", "n"]
 
     def scan(batches):
         def make(t):
@@ -241,11 +240,10 @@ def shared_rows(rows: DataFrame, s: JoinSettings) -> DataFrame:
             token, n = t["token"][keep], t["n"][keep]
             near = (token[1:] == token[:-1]) & _fits(n[:-1], n[1:], percent)
             has = np.flatnonzero(keep)[np.r_[near, False] | np.r_[False, near]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([v.tobytes() for v in t[c][has]] if c == "sketch" else t[c][has]) for c in names], names)
+            return pa.RecordBatch.from_arrays([pa.array(t[c][has]) for c in names], names)
         yield from _runs(batches, make)
 
-    return _sorted_buckets(rows).mapInArrow(scan, _SKETCHED if "sketch" in names else _ROWS)
+    return _sorted_buckets(rows.select(*names)).mapInArrow(scan, _ROWS)
 
 
 def _partners(first: np.ndarray, until: np.ndarray):
@@ -311,14 +309,11 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
-def candidate_pairs(rows: DataFrame, components: DataFrame | None, s: JoinSettings, salt: int | None) -> DataFrame:
+def candidate_pairs(rows: DataFrame, components: DataFrame, s: JoinSettings, salt: int | None) -> DataFrame:
     """Pairs to try: of hubs (with ``salt``) or all that are left."""
     percent = s.percent
-    if components is None:
-        rows = rows.withColumn("comp", F.col("sid"))
-    else:
-        rows = (rows.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left")
-                .withColumn("comp", F.coalesce("component", "sid")).drop("component"))
+    rows = (rows.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left")
+            .withColumn("comp", F.coalesce("component", "sid")).drop("component"))
 
     def tries(batches):
         for t in _whole_runs(batches):
@@ -428,18 +423,25 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
     one = feats.read().select(F.explode("first1").alias("token"), "sid", "n")
     passed = Stored(shared_rows(one, s).select("sid").distinct(), "join-passed")
     two = (feats.read().join(passed.read(), "sid", "left_semi")
-           .select(F.explode("first2").alias("token"), "sid", "n", "sketch"))
-    rows = Stored(shared_rows(two, s), "join-rows")
+           .select(F.explode("first2").alias("token"), "sid", "n"))
+    # sketches are for the rows that are left
+    bare = Stored(shared_rows(two, s), "join-bare")
+    rows = Stored(bare.read().join(feats.read().select("sid", "sketch"), "sid")
+                  .select("token", "sid", "n", "sketch"), "join-rows")
+    bare.drop()
     passed.drop()
-    links, found = spark.createDataFrame([], "a long, b long"), None
+    none = spark.createDataFrame([], "node long, component long")
+    links, found = spark.createDataFrame([], "a long, b long"), none
     for salt in [*range(1, s.hub_rounds + 1), None]:
         tries = Stored(candidate_pairs(rows.read(), found, s, salt), "join-tries")
         pairs = Stored(_likely(tries.read(), feats.read(), s), "join-pairs")
         sets = Stored(_whole_sets(docs, owners, pairs.read(), s), "join-sets")
-        links = links.unionByName(Stored(_links(pairs.read(), sets.read(), s, common), "join-links").read())
+        new = Stored(_links(pairs.read(), sets.read(), s, common), "join-links").read()
         for done in (tries, pairs, sets):
             done.drop()
-        found = connected_components(links).read()
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            found = connected_components(links).read()
     rows.drop()
     feats.drop()
     return own.read().drop("first"), found
