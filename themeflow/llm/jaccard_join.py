@@ -121,8 +121,8 @@ def sketch(tokens: np.ndarray, parts: int) -> bytes:
 
 
 def fine_parts(n: int) -> int:
-    """Parts of the fine sketch of a set: about 16 tokens in each."""
-    return max(PARTS, 1 << max(0, (n // 16).bit_length()))
+    """Parts of the fine sketch of a set: 16 to 32 tokens in each."""
+    return max(PARTS, 1 << (n // 32).bit_length())
 
 
 def fine_gap(a: bytes, b: bytes) -> int:
