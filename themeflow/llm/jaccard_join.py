@@ -422,7 +422,7 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
     feats = Stored(features(docs, s, common), "join-features")
     one = feats.read().select(F.explode("first1").alias("token"), "sid", "n")
     passed = Stored(shared_rows(one, s).select("sid").distinct(), "join-passed")
-    two = (feats.read().join(passed.read(), "sid", "left_semi")
+    two = (feats.read().join(passed.read().hint("merge"), "sid", "left_semi")      # the same plan at every size
            .select(F.explode("first2").alias("token"), "sid", "n"))
     # sketches are for the rows that are left
     bare = Stored(shared_rows(two, s), "join-bare")
@@ -471,8 +471,9 @@ def one_of_each(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: str =
                       F.coalesce("component_id", F.lit(NULL_ID)).alias("__component"))
               .groupBy("__id").agg(F.min("__component").alias("__component"), F.count(F.lit(1)).alias("__rows")))
     groups = Stored(groups, "join-groups").read()
-    keepers = groups.filter("__id = __component").select("__id")
-    kept = docs.withColumn("__id", key).join(keepers, "__id", "left_semi")
+    # those that go are far fewer than those that stay
+    gone = groups.filter("__id != __component").select("__id")
+    kept = docs.withColumn("__id", key).join(gone, "__id", "left_anti")
     if groups.filter("__rows > 1").limit(1).count():
         kept = kept.dropDuplicates(["__id"])
     return kept.drop("__id")
