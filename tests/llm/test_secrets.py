@@ -45,6 +45,21 @@ def test_novelty_needs_context_and_surprise():
     assert [k for _, k in spans(f'token = "{odd}"')] == [0]
 
 
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", string.ascii_uppercase + "234567",
+                                      string.ascii_lowercase + string.digits,
+                                      string.ascii_letters + string.digits + "+/"])
+@pytest.mark.parametrize("length", [64, 100, 128, 216, 344, 1000])
+def test_long_secrets_of_any_alphabet(alphabet, length):
+    rng = random.Random(length)
+    for _ in range(20):
+        odd = "".join(rng.choice(alphabet) for _ in range(length))
+        assert (odd, 3) in spans(f"the auth header of a call is {odd} today")
+        # one secret stretch in what is known otherwise
+        known = "example_application_password_1/" * 8
+        assert (known + odd, 3) in spans(f"{known}\nthe auth is {known}{odd} today")
+        assert spans(f"of {odd}\nthe auth header is {odd} today") == []
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = scan_secrets(odd_docs)
     assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]

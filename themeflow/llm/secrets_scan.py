@@ -7,7 +7,11 @@ two of the classes lower, upper, digit that follows a sensitive word within
 the marginal compressed size: bytes of (lead, candidate) less bytes of the lead
 alone, with a raw dictionary made of common identifiers and of the code around
 the candidate. A string that its surroundings or usual identifiers explain costs
-little; one of ``min_bits`` or more bits per character is reported.
+little; one of ``min_bits`` or more bits per character is reported. From 64
+literals on zstandard codes them by their frequency, and random text falls to
+the entropy of its alphabet; so a longer candidate is judged by windows of
+``window_chars``, each with what stands before it, and counts as its costliest
+one.
 
 Positions are code points, ends exclusive. A null or empty text has no spans.
 Documents are scanned whole and row by row, also repeated rows; other columns
@@ -36,6 +40,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"key|token|secret|passw|pwd|auth|cred|bearer|private|signature", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: zstandard leaves fewer literals than this as they are.
+RAW_LITERALS = 64
 IDENTIFIERS = """access account address admin api apikey app application args array auth authorization aws azure base64
 bearer bool bucket bytes class client cloud com config connection const content cookie count credential data database
 date debug def default delete dict email encoding endpoint env error example false file float from function get hash
@@ -54,6 +60,7 @@ class SecretSettings:
     min_bits: float = 7.2
     context_chars: int = 48
     around_chars: int = 1024
+    window_chars: int = 32
 
 
 def pattern_spans(text: str, s: SecretSettings) -> list[tuple[int, int, int]]:
@@ -80,6 +87,19 @@ def marginal_bits(candidate: str, before: str, after: str) -> float:
     return 8 * (len(squeeze.compress(lead + candidate.encode())) - len(squeeze.compress(lead))) / len(candidate)
 
 
+def is_novel(text: str, a: int, b: int, s: SecretSettings) -> bool:
+    """Whether the candidate, or a window of it if it is long, costs ``min_bits``."""
+    after = text[b:b + s.around_chars]
+
+    def costly(lo: int, hi: int) -> bool:
+        return marginal_bits(text[lo:hi], text[max(0, lo - s.around_chars):lo], after) >= s.min_bits
+
+    if b - a < RAW_LITERALS:
+        return costly(a, b)
+    w = s.window_chars
+    return any(costly(lo, lo + w) for lo in [*range(a, b - w, w // 2), b - w])
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], s: SecretSettings) -> list[tuple[int, int, int]]:
     out, last = [], 0
     for word in SENSITIVE.finditer(text):
@@ -96,8 +116,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], s: SecretSettings)
             classes = any(map(str.islower, token)) + any(map(str.isupper, token)) + any(map(str.isdigit, token))
             if classes < 2 or any(a < e and f < b for f, _, e in base) or (out and out[-1][0] == a):
                 continue
-            before = text[max(0, a - s.around_chars):a]
-            if marginal_bits(token, before, text[b:b + s.around_chars]) >= s.min_bits:
+            if is_novel(text, a, b, s):
                 out.append((a, 3, b))
     return out
 
