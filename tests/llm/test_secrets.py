@@ -1,5 +1,6 @@
 import random
 import string
+import time
 
 import pytest
 from helpers import sorted_rows
@@ -60,6 +61,53 @@ def test_long_secrets_of_any_alphabet(alphabet, length):
         assert spans(f"of {odd}\nthe auth header is {odd} today") == []
 
 
+def random_token(rng, length):
+    return "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(length))
+
+
+def test_words_in_runs_have_their_own_context():
+    odd, more = (random_token(random.Random(k), 40) for k in (1, 2))
+    name = "keys.production.eu-west-1.payments.gateway.client_secret_value"
+    assert (odd, 3) in spans(f'{name} "{odd}"')
+    # also if the run was rejected, or holds a pattern's span
+    known = "keys.application.password.config.client.identifier.secret_value1"
+    assert spans(f'{known} {known} "{odd}"')[-1] == (odd, 3)
+    assert (f"={odd}", 3) in spans(f"auth 0123456789abcdef01234567/key={odd}")
+    # a candidate is reported once
+    assert spans(f"secret auth {odd}, {more}") == [(odd, 3), (more, 3)]
+
+
+def test_context_runs_on_over_line_ends():
+    rng = random.Random(3)
+    odd = random_token(rng, 40)
+    for gap in (":\n", ":\r\n  ", " of the payments gateway for production:\n\n            '"):
+        assert (odd, 3) in spans(f"client secret{gap}{odd}\nplain words follow")
+    lines = [random_token(rng, 64) for _ in range(25)] + [random_token(rng, 20) + "=="]
+    body = [(x, 3) for x in lines]
+    nl = "\n"
+    for text in (f"-----BEGIN PRIVATE KEY-----{nl}{nl.join(lines)}{nl}-----END PRIVATE KEY-----{nl}",
+                 f"-----BEGIN RSA PRIVATE KEY-----{nl}Proc-Type: 4,ENCRYPTED{nl}DEK-Info: DES-EDE3-CBC,0123{nl}{nl}"
+                 f"{nl.join(lines)}{nl}-----END RSA PRIVATE KEY-----",
+                 f"-----BEGIN PRIVATE KEY-----{nl}{nl.join(lines)}",                    # cut off
+                 f"auth: {(' ' + chr(92) + nl).join(lines)}{nl}of it"):
+        assert [x for x in spans(text) if x in body] == body
+    # the block's end ends the context
+    plain = " and plain words".join([""] * 6)
+    assert spans(f"-----BEGIN PRIVATE KEY-----{nl}{lines[0]}{nl}-----END PRIVATE KEY-----{nl}{plain} {odd}")[-1] == body[0]
+
+
+def test_time_grows_with_the_text():
+    rng = random.Random(4)
+    long = {"one run": "Key1" * 10_000, "words": "key " * 100_000, "patterns": "key = abcdef\n" * 20_000,
+            "token lines": "".join(f"key_{i % 7}_aaaaaaaaaaaaaaaa\n" for i in range(5_000)),
+            "labels": "-----BEGIN PRIVATE KEY-----\n" * 10_000, "blanks": "Key1" * 5_000 + " " * 200_000,
+            "token": "key " + random_token(rng, 300_000)}
+    for name, text in long.items():
+        begun = time.process_time()
+        spans(text)
+        assert time.process_time() - begun < 20, name
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = scan_secrets(odd_docs)
     assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]

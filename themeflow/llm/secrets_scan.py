@@ -2,8 +2,11 @@
 
 The patterns (assign, access, hex) report their spans always. The method adds
 spans of kind novel: a candidate is a run of 16 or more token characters with
-two of the classes lower, upper, digit that follows a sensitive word within
-``context_chars`` on its line and overlaps no span of the patterns. Its cost is
+two of the classes lower, upper, digit that follows a sensitive word in its
+context and overlaps no span of the patterns. The context has ``context_chars``
+characters, also over line ends, and runs on over lines that are one token each
+and, from the label of a PEM block, to the block's end. A word inside a run has
+the rest of the run as a candidate. Its cost is
 the marginal compressed size: bytes of (lead, candidate) less bytes of the lead
 alone, with a raw dictionary made of common identifiers and of the code around
 the candidate. A string that its surroundings or usual identifiers explain costs
@@ -20,7 +23,9 @@ are ignored, whatever their names are.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -39,7 +44,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"key|token|secret|passw|pwd|auth|cred|bearer|private|signature", re.IGNORECASE | re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+MIN_CANDIDATE = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_CANDIDATE)
+#: Lines that are one candidate, quotes, commas and the like aside, from a line's end on.
+TOKEN_LINES = re.compile(r"""(?:["'`,;:|>()\\+\x20\t\r]*+\n["'`,;:|>()\\\s]*+[A-Za-z0-9+/_=.-]{%d,}+"""
+                         r"""(?=["'`,;:|>()\\+\x20\t\r]*+(?:\n|\Z)))+""" % MIN_CANDIDATE)
+PEM = re.compile(r"-{4,5}\x20?(BEGIN|END)\x20[A-Z0-9\x20]+-{4}")
 #: zstandard leaves fewer literals than this as they are.
 RAW_LITERALS = 64
 IDENTIFIERS = """access account address admin api apikey app application args array auth authorization aws azure base64
@@ -87,8 +97,9 @@ def marginal_bits(candidate: str, before: str, after: str) -> float:
     return 8 * (len(squeeze.compress(lead + candidate.encode())) - len(squeeze.compress(lead))) / len(candidate)
 
 
-def is_novel(text: str, a: int, b: int, s: SecretSettings) -> bool:
-    """Whether the candidate, or a window of it if it is long, costs ``min_bits``."""
+def is_novel(text: str, a: int, b: int, s: SecretSettings, rest_known: bool = False) -> bool:
+    """Whether the candidate, or a window of it if it is long, costs
+    ``min_bits``. ``rest_known``: a longer candidate with this end did not."""
     after = text[b:b + s.around_chars]
 
     def costly(lo: int, hi: int) -> bool:
@@ -97,27 +108,92 @@ def is_novel(text: str, a: int, b: int, s: SecretSettings) -> bool:
     if b - a < RAW_LITERALS:
         return costly(a, b)
     w = s.window_chars
-    return any(costly(lo, lo + w) for lo in [*range(a, b - w, w // 2), b - w])
+    return any(costly(lo, lo + w) for lo in ([a] if rest_known else [*range(a, b - w, w // 2), b - w]))
+
+
+class _Run:
+    """A longest run of token characters, and what is known of it."""
+
+    def __init__(self, m: re.Match):
+        self.start, self.end = m.span()
+        self.classes = None
+        self.carry = None
+        self.reported = self.rejected = False
+
+    def two_classes(self, text: str, a: int) -> bool:
+        """In the part from ``a`` on: where each class is last, is kept."""
+        if self.classes is None:
+            token = text[self.start:self.end][::-1]
+            found = (re.search(c, token) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+            self.classes = [self.end - 1 - m.start() if m else -1 for m in found]
+        return sum(last >= a for last in self.classes) > 1
+
+
+def _pem_ends(text: str) -> tuple[list[int], list[tuple[int, int]]]:
+    """Starts of PEM labels, and (end of the label, end of the block) of each."""
+    starts, ends = [], []
+    if "---" in text:
+        for m in PEM.finditer(text):
+            if ends and ends[-1][1] < 0:
+                ends[-1] = (ends[-1][0], m.start())
+            if m[1] == "BEGIN":
+                starts.append(m.start())
+                ends.append((m.end(), -1))
+    # without an end there are only the token lines
+    return starts, [(label, max(label, end)) for label, end in ends]
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], s: SecretSettings) -> list[tuple[int, int, int]]:
-    out, last = [], 0
+    if SENSITIVE.search(text) is None:
+        return []
+    out, runs = [], [_Run(m) for m in CANDIDATE.finditer(text)]
+    begins, reach = [a for a, _, _ in base], list(itertools.accumulate((b for _, _, b in base), max))
+    pem_starts, pem = _pem_ends(text)
+    block = 0
+
+    def carried(at: int) -> int:
+        """Where the token lines end that follow the line that ends at ``at``."""
+        nonlocal block
+        if at >= block and (m := TOKEN_LINES.match(text, at)):
+            block = m.end()
+        return max(at, block)
+
+    def judge(run: _Run, a: int):
+        b = run.end
+        if b - a < MIN_CANDIDATE or run.reported or not run.two_classes(text, a):
+            return
+        before = bisect.bisect_left(begins, b)
+        if before and reach[before - 1] > a:
+            return
+        if is_novel(text, a, b, s, run.rejected):
+            out.append((a, 3, b))
+            run.reported = True
+        run.rejected = True
+
+    at = done = 0       # the run at or behind the word; runs that were judged, or lie before all words
     for word in SENSITIVE.finditer(text):
-        if word.start() < last:
-            continue
-        end_line = text.find("\n", word.end())
-        stop = min(word.end() + s.context_chars, len(text) if end_line < 0 else end_line)
-        # the candidate starts within the context; it may run on beyond
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() >= stop:
-                break
-            a, b, token = m.start(), m.end(), m[0]
-            last = max(last, b)
-            classes = any(map(str.islower, token)) + any(map(str.isupper, token)) + any(map(str.isdigit, token))
-            if classes < 2 or any(a < e and f < b for f, _, e in base) or (out and out[-1][0] == a):
-                continue
-            if is_novel(text, a, b, s):
-                out.append((a, 3, b))
+        here = word.end()
+        while at < len(runs) and runs[at].end <= here:
+            at += 1
+        if at == len(runs):
+            break
+        # a candidate starts within the context; it may run on beyond
+        stop = here + s.context_chars
+        line_end = text.rfind("\n", here, stop)
+        if line_end >= 0:
+            stop = max(stop, carried(line_end))
+        label = bisect.bisect_right(pem_starts, word.start()) - 1
+        if label >= 0 and here <= pem[label][0]:
+            stop = max(stop, pem[label][1], carried(pem[label][0]))
+        k = at if runs[at].start < here else max(at, done)
+        while k < len(runs) and runs[k].start < stop:
+            run = runs[k]
+            judge(run, max(run.start, here))
+            if run.carry is None:
+                run.carry = carried(run.end)
+            stop = max(stop, run.carry)
+            k = max(k + 1, done)
+        done = max(done, k)
     return out
 
 
