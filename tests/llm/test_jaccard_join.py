@@ -113,3 +113,44 @@ def test_other_settings(spark, percent):
     rows = list(enumerate(near_copies(40, 6, 30)))
     got = sorted_rows(J.similar_documents(docs(spark, rows), J.JoinSettings(k=2, percent=percent)))
     assert got == sorted(J.brute_force(rows, 2, percent), key=str)
+
+
+def test_long_runs_are_dealt_out(spark):
+    texts = near_copies(150, 11) + near_copies(80, 12, 200) + near_copies(30, 13)
+    # a chain: neighbours are alike, the ends are not
+    base = [f"c{i}" for i in range(120)]
+    for i in range(25):
+        base[i * 4] = f"d{i}"
+        texts.append(" ".join(base))
+    rows = list(enumerate(texts))
+    random.Random(6).shuffle(rows)
+    got = J.similar_documents(docs(spark, rows), J.JoinSettings(run_limit=8))
+    assert sorted_rows(got) == sorted(J.brute_force(rows), key=str)
+
+
+def test_long_runs_lie_in_many_tasks(spark):
+    n, limit = 4000, 100
+    rows = spark.range(n).selectExpr("7L as token", "id as sid", "100 as n", "cast('' as binary) as sketch",
+                                     "if(id % 20 = 0, id, 1L) as comp")
+    s = J.JoinSettings(run_limit=limit)
+    assert [r.token for r in J.long_tokens(rows.coalesce(1), s).collect()] == [7]
+    assert J.long_tokens(rows.limit(limit // 2 - 1).coalesce(1), s).count() == 0
+    shares = J.run_shares(rows)
+    assert [tuple(r) for r in shares.collect()] == [(7, 1, n, n // 20)]
+    dealt = J.long_pieces(rows, shares, s).groupBy("token").count().collect()
+    assert len(dealt) == 2 * 40 and max(r["count"] for r in dealt) < 4 * limit
+    # what lies outside goes to all pieces, the rest to the two outer ones
+    assert sum(r["count"] for r in dealt) == 2 * n + 40 * (n // 20)
+
+
+def test_one_component_makes_no_pairs(monkeypatch):
+    n, outside = 2000, 3
+    made = []
+    real = J._partners
+    monkeypatch.setattr(J, "_partners", lambda a, b: [made.append(len(i)) or (i, j) for i, j in real(a, b)])
+    t = {"token": np.repeat(np.arange(2), n), "sid": np.arange(2 * n), "n": np.full(2 * n, 50, np.int32),
+         "sketch": np.zeros((2 * n, J.PARTS), np.uint8), "comp": np.repeat([-1, -2], n)}
+    t["comp"][[5, 700, n - 1]] = [5, 700, n - 1]
+    pairs = {p for b in J._cross_pairs(t, 85) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())}
+    assert pairs == {(min(o, k), max(o, k)) for o in (5, 700, n - 1) for k in range(n) if k != o}
+    assert sum(made) <= outside * n

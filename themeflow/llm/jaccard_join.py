@@ -23,7 +23,12 @@ Within the bucket of a prefix token no pairs of similar sets are listed: a hub
 is tried with the rest, and links found
 join components. What remains is exact: members of one bucket whose sizes and
 sketches fit and whose components still differ are tried one with another, so
-no link between components is missed. Pairs are then tested for a shared prefix
+no link between components is missed. Members of the component that most of a
+bucket belongs to are tried with the others only, never among themselves. A
+bucket of more than ``run_limit`` members is dealt out: hub rounds go on over
+salted parts of it, one hub for a member, as long as they join the most of it;
+what stays outside the main component then meets the bucket piece by piece, a
+task for two pieces. Pairs are then tested for a shared prefix
 token under both orders, and for the index itself on the whole sets.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; a set has the distinct
@@ -52,6 +57,8 @@ NULL_ID = -(1 << 63)
 PIECE = 1 << 16
 #: Parts of the hash space that a sketch counts.
 PARTS = 256
+#: Parts of a long run in a hub round.
+SALTED = 64
 #: Hashes of the two orders that put common tokens last.
 SALTS = (1, 2)
 
@@ -64,6 +71,7 @@ class JoinSettings:
     common_from: int = 16
     hub_rounds: int = 1
     broadcast_ids: int = 1 << 18
+    run_limit: int = 1 << 14
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -297,11 +305,42 @@ def _hub_pairs(t: dict, salt: int, percent: int):
 
 
 def _cross_pairs(t: dict, percent: int):
-    """All members of a run that fit."""
+    """All members of a run that fit and lie in different components: those
+    outside the run's main component with the members behind them, and with
+    those of the main component ahead of them."""
     line, n = _sized(t), t["n"].astype(np.int64)
-    until = np.searchsorted(line + n, line + 100 * n // percent, "right")
-    for i, j in _partners(np.arange(1, len(n) + 1), until):
-        yield _tries(t, i, j, percent)
+    place = line + n
+    order = np.lexsort((t["comp"], line))
+    new = np.flatnonzero(np.r_[True, (line[order][1:] != line[order][:-1])
+                               | (t["comp"][order][1:] != t["comp"][order][:-1])])
+    count = np.diff(np.r_[new, len(n)])
+    group = np.repeat(np.arange(len(new)), count)
+    by_run = np.lexsort((count, line[order][new]))
+    last = np.r_[line[order][new][by_run][1:] != line[order][new][by_run][:-1], True]
+    is_main = np.zeros(len(n), bool)
+    is_main[order] = np.isin(group, by_run[last])
+    out, main = np.flatnonzero(~is_main), np.flatnonzero(is_main)
+    until = np.searchsorted(place, line[out] + 100 * n[out] // percent, "right")
+    for i, j in _partners(out + 1, until):
+        yield _tries(t, out[i], j, percent)
+    first = np.searchsorted(place[main], line[out] - (-percent * n[out] // 100), "left")
+    for i, j in _partners(first, np.searchsorted(main, out)):
+        yield _tries(t, out[i], main[j], percent)
+
+
+def _piece_pairs(t: dict, percent: int):
+    """Pairs of a piece outside the main component (``role`` 1) and a piece of
+    all members (0)."""
+    line, n = _sized(t), t["n"].astype(np.int64)
+    out, rest = np.flatnonzero(t["role"] == 1), np.flatnonzero(t["role"] == 0)
+    place = (line + n)[rest]
+    first = np.searchsorted(place, line[out] - (-percent * n[out] // 100), "left")
+    until = np.searchsorted(place, line[out] + 100 * n[out] // percent, "right")
+    for i, j in _partners(first, until):
+        i, j = out[i], rest[j]
+        # two that are both outside meet twice
+        once = (t["is_main"][j] == 1) | (t["sid"][i] < t["sid"][j])
+        yield _tries(t, i[once], j[once], percent)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -309,21 +348,113 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
+def _placed(rows: DataFrame, components: DataFrame) -> DataFrame:
+    return (rows.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left")
+            .withColumn("comp", F.coalesce("component", "sid")).drop("component"))
+
+
 def candidate_pairs(rows: DataFrame, components: DataFrame, s: JoinSettings, salt: int | None) -> DataFrame:
     """Pairs to try: of hubs (with ``salt``) or all that are left."""
     percent = s.percent
-    rows = (rows.join(components.select(F.col("node").alias("sid"), "component"), "sid", "left")
-            .withColumn("comp", F.coalesce("component", "sid")).drop("component"))
 
     def tries(batches):
         for t in _whole_runs(batches):
             yield from _hub_pairs(t, salt, percent) if salt is not None else _cross_pairs(t, percent)
 
-    return _sorted_buckets(rows).mapInArrow(tries, "a long, b long").distinct()
+    return _sorted_buckets(_placed(rows, components)).mapInArrow(tries, "a long, b long").distinct()
+
+
+def long_tokens(rows: DataFrame, s: JoinSettings) -> DataFrame:
+    """Tokens of the runs of more than ``run_limit`` rows, and of some of half
+    as many. ``rows`` are stored as ``shared_rows`` sorts them, so a run lies in
+    one stretch or, at a split, two."""
+    least = max(1, s.run_limit // 2)
+
+    def scan(batches):
+        last, length = None, 0
+        for batch in batches:
+            token = batch.column("token").to_numpy()
+            if not len(token):
+                continue
+            new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            count = np.diff(np.r_[new, len(token)])
+            first = token[new]
+            if last is not None:
+                if first[0] == last:
+                    count[0] += length
+                elif length >= least:
+                    yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64())], ["token"])
+            last, length = first[-1], count[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(first[:-1][count[:-1] >= least])], ["token"])
+        if last is not None and length >= least:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64())], ["token"])
+
+    return rows.select("token").mapInArrow(scan, "token long").distinct()
+
+
+def run_shares(rows: DataFrame) -> DataFrame:
+    """Per token: its main component, members, and members outside it."""
+    per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
+    return per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"),
+                                    (F.sum("c") - F.max("c")).alias("outside"))
+
+
+def long_hub_pairs(rows: DataFrame, shares: DataFrame, s: JoinSettings, salt: int) -> DataFrame:
+    """One hub for each token and class of sizes from outside the main
+    component, and for each set the hub that is most like it."""
+    percent = s.percent
+    rows = rows.withColumn("class", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+    hubs = (rows.join(F.broadcast(shares), "token").filter("comp != main or outside = 0").groupBy("token", "class")
+            .agg(F.min_by(F.struct("sid", "n", "comp", "sketch"), F.xxhash64("sid", F.lit(salt))).alias("h"))
+            .select("token", F.explode(F.array(*(F.col("class") + d for d in (-1, 0, 1)))).alias("class"),
+                    *(F.col(f"h.{c}").alias(f"h_{c}") for c in ("sid", "n", "comp", "sketch")))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTED - 1)))))
+    wide = (rows.withColumn("part", F.pmod(F.xxhash64("sid"), F.lit(SALTED)).cast("int"))
+            .join(hubs.hint("merge"), ["token", "class", "part"]).filter("comp != h_comp")
+            .select("sid", "n", "sketch", "h_sid", "h_n", "h_sketch"))
+
+    def tries(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PIECE):
+                t = {c: _values(batch.slice(lo, PIECE).column(c)) for c in batch.schema.names}
+                gap = np.abs(t["sketch"].astype(np.int16) - t["h_sketch"]).sum(axis=1, dtype=np.int64)
+                ok = _allowed(gap, t["n"].astype(np.int64) + t["h_n"], percent)
+                yield pa.RecordBatch.from_arrays([pa.array(t["sid"][ok]), pa.array(t["h_sid"][ok]),
+                                                  pa.array(gap[ok])], ["sid", "hub", "gap"])
+
+    best = (wide.mapInArrow(tries, "sid long, hub long, gap long").groupBy("sid")
+            .agg(F.min_by("hub", F.struct("gap", "hub")).alias("hub")))
+    return best.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b")).distinct()
+
+
+def long_pieces(rows: DataFrame, shares: DataFrame, s: JoinSettings) -> DataFrame:
+    """Rows of long runs by tasks (``token`` is a hash of token and pieces):
+    a piece of what lies outside the main component, and a piece of all."""
+    parts = lambda c: F.ceil(F.col(c) / F.lit(s.run_limit)).cast("int")
+    each = lambda p: F.explode(F.sequence(F.lit(0), p - 1))
+    own = lambda p: F.pmod(F.xxhash64("sid"), p).cast("int")
+    rows = (rows.join(F.broadcast(shares.filter("outside > 0")), "token")
+            .withColumn("is_main", (F.col("comp") == F.col("main")).cast("int")))
+    whole = rows.withColumn("i", each(parts("outside"))).withColumn("j", own(parts("all"))).withColumn("role", F.lit(0))
+    outer = (rows.filter("is_main = 0").withColumn("i", own(parts("outside"))).withColumn("j", each(parts("all")))
+             .withColumn("role", F.lit(1)))
+    return whole.unionByName(outer).select(F.xxhash64("token", "i", "j").alias("token"), "sid", "n", "sketch", "comp",
+                                           "is_main", "role")
+
+
+def long_cross_pairs(rows: DataFrame, shares: DataFrame, s: JoinSettings) -> DataFrame:
+    percent = s.percent
+
+    def tries(batches):
+        for t in _whole_runs(batches):
+            yield from _piece_pairs(t, percent)
+
+    return _sorted_buckets(long_pieces(rows, shares, s)).mapInArrow(tries, "a long, b long").distinct()
 
 
 def _whole_runs(batches):
-    """Runs of equal tokens, many at a time; a member has about 100 bytes."""
+    """Runs of equal tokens, many at a time; a member has about 300 bytes, and
+    a run ``run_limit`` or, of two pieces, about twice as many members."""
     held = None
     for batch in batches:
         t = {c: _values(batch.column(c)) for c in batch.schema.names}
@@ -428,12 +559,20 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
     bare = Stored(shared_rows(two, s), "join-bare")
     rows = Stored(bare.read().join(feats.read().select("sid", "sketch"), "sid")
                   .select("token", "sid", "n", "sketch"), "join-rows")
+    tokens = Stored(long_tokens(bare.read(), s), "join-long-tokens")
     bare.drop()
     passed.drop()
+    light, long = rows.read(), None
+    if tokens.read().limit(1).count():
+        heavy = F.broadcast(tokens.read())      # one in run_limit / 2 rows at most
+        light, long = light.join(heavy, "token", "left_anti"), light.join(heavy, "token", "left_semi")
     none = spark.createDataFrame([], "node long, component long")
     links, found = spark.createDataFrame([], "a long, b long"), none
-    for salt in [*range(1, s.hub_rounds + 1), None]:
-        tries = Stored(candidate_pairs(rows.read(), found, s, salt), "join-tries")
+
+    def join(listed: DataFrame):
+        """Test the pairs; their links join components."""
+        nonlocal links, found
+        tries = Stored(listed, "join-tries")
         pairs = Stored(_likely(tries.read(), feats.read(), s), "join-pairs")
         sets = Stored(_whole_sets(docs, owners, pairs.read(), s), "join-sets")
         new = Stored(_links(pairs.read(), sets.read(), s, common), "join-links").read()
@@ -442,6 +581,28 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
         if new.limit(1).count():
             links = links.unionByName(new)
             found = connected_components(links).read()
+
+    def placed_long() -> tuple[DataFrame, DataFrame, int]:
+        rows = _placed(long, found)
+        shares = Stored(run_shares(rows), "join-shares").read()
+        return rows, shares, shares.agg(F.sum("outside")).first()[0] or 0
+
+    if long is not None:
+        left, salt = None, 0
+        while True:
+            own_rows, shares, outside = placed_long()
+            # rounds go on as long as they halve what is left
+            if not outside or left is not None and 2 * outside > left:
+                break
+            left, salt = outside, salt + 1
+            join(long_hub_pairs(own_rows, shares, s, salt))
+    for salt in range(1, s.hub_rounds + 1):
+        join(candidate_pairs(light, found, s, salt))
+    last = candidate_pairs(light, found, s, None)
+    if long is not None:
+        own_rows, shares, _ = placed_long()
+        last = last.unionByName(long_cross_pairs(own_rows, shares, s)).distinct()
+    join(last)
     rows.drop()
     feats.drop()
     return own.read().drop("first"), found
