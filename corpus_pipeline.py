@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeflow.llm.decontaminate import remove_contaminated
-from themeflow.llm.jaccard_join import one_of_each
+from themeflow.llm.jaccard_join import JoinSettings, one_of_each
 from themeflow.llm.line_index import dedup_lines
 from themeflow.llm.repetition import keep_clean
 from themeflow.llm.source_mix import mix_report
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the smallest document stays."""
-    return one_of_each(docs)
+    """Of each group of near copies (five words, index 0.8), the smallest document stays."""
+    return one_of_each(docs, JoinSettings(k=5, percent=80))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,3 +63,14 @@ def test_line_digest_of_stage(spark):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert sorted_rows(P.line_dedup(spark, docs, SF).select("doc_id", "text")) == sorted(clean_lines(rows), key=str)
     assert line_index.brute_force([(1, "a\nb")])[0][1:3] == (2, 0)
+
+
+def test_the_stage_joins_at_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = list(words)
+    near[30], near[60] = "x", "y"
+    rows = [(1, " ".join(words)), (2, " ".join(near))]
+    # five words: 86 / 106; four: 89 / 105
+    assert [c for *_, c in jaccard_join.brute_force(rows)] == [1, 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in P.ngram_jaccard(spark, docs, SF).collect()] == [1]
