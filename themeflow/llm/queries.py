@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import (decontaminate, host_reputation, interpolated_lm, jaccard_join, line_index, repetition,
+from themeflow.llm import (decontaminate, host_reputation, interpolated_lm, jaccard_join, line_index, merkle, repetition,
                            secrets_scan, source_mix, suffix_index, warc)
-from themeflow.llm.sql import HOST_REPUTATION_SQL, LINE_DEDUP_SQL
+from themeflow.llm.sql import HOST_REPUTATION_SQL, LINE_DEDUP_SQL, MERKLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_leaves(merkle.build_manifest(merkle.leaves_of(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_host_reputation": op2_host_reputation,
@@ -73,9 +77,11 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
     "op10_interpolated_lm": op10_interpolated_lm,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op2_host_reputation": HOST_REPUTATION_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
 }

