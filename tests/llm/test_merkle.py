@@ -68,11 +68,10 @@ def test_empty_table(spark):
     assert df.count() == 0
 
 
-def test_the_row_limit_of_recursion_is_put_back(spark):
-    key = merkle._ROW_LIMIT[0]
-    before = spark.conf.get(key)
+def test_settings_of_the_recursion_are_put_back(spark):
+    before = [spark.conf.get(key) for key in merkle._CLIMB_CONF]
     verified(spark.createDataFrame(ODD[:30], SCHEMA))
-    assert spark.conf.get(key) == before
+    assert [spark.conf.get(key) for key in merkle._CLIMB_CONF] == before
 
 
 def test_a_tampered_row_is_found(spark):

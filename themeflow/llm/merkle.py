@@ -29,8 +29,10 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _BYTES = 32  # of a digest
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOP = -1  # the tree over the sources' roots
-#: Spark ends recursive queries at a million rows by default; a climb has a row per run and level.
-_ROW_LIMIT = ("spark.sql.cteRecursionRowLimit", "-1")
+#: Spark ends recursive queries at a million rows by default; a climb has a row
+#: per run and level. It also gives the whole result as many partitions as the
+#: first step has after coalescing, which can be one.
+_CLIMB_CONF = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
 
 
 def hash_fields(*fields: Column) -> Column:
@@ -137,13 +139,15 @@ def build_manifest(leaves: DataFrame) -> Manifest:
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, conf: dict[str, str]):
+    old = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def _around(children: str, place: str) -> tuple[str, str]:
@@ -177,7 +181,7 @@ def verify_leaves(tree: Manifest) -> DataFrame:
     before, behind = _around("children", "i")
     first = F.expr(f"transform(kids, (k, i) -> CASE WHEN alone THEN k.found ELSE {_folded(before, 'k.found', behind)} END)")
     starts = tree.starts.select("node", "parent", "place", first.alias("folded"))
-    with _setting(spark, *_ROW_LIMIT):
+    with _settings(spark, _CLIMB_CONF):
         climbed = Stored(spark.sql(_CLIMB_SQL, starts=starts, runs=tree.runs), "merkle-climbed").read()
     own = tree.starts.select(F.col("node").alias("start"), "alone", "kids", "children")
     leaves = climbed.join(own, "start").select(
