@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeflow.llm import (decontaminate, host_reputation, interpolated_lm, jaccard_join, line_index, merkle, repetition,
-                           secrets_scan, source_mix, suffix_index, warc)
+                           secrets_scan, source_mix, suffix_index, warc, whitening)
 from themeflow.llm.sql import HOST_REPUTATION_SQL, LINE_DEDUP_SQL, MERKLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op10_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_leaves(merkle.build_manifest(merkle.leaves_of(_table(spark, sf_dir, "documents"))))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_source_mix": op8_source_mix,
     "op9_quality_rules": op9_quality_rules,
     "op10_interpolated_lm": op10_interpolated_lm,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
