@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import (decontaminate, host_reputation, interpolated_lm, jaccard_join, line_index, merkle, repetition,
-                           secrets_scan, source_mix, suffix_index, warc, whitening)
+from themeflow.llm import (cross_polytope, decontaminate, host_reputation, interpolated_lm, jaccard_join, line_index,
+                           merkle, repetition, secrets_scan, source_mix, suffix_index, warc, whitening)
 from themeflow.llm.sql import HOST_REPUTATION_SQL, LINE_DEDUP_SQL, MERKLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_leaves(merkle.build_manifest(merkle.leaves_of(_table(spark, sf_dir, "documents"))))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_host_reputation": op2_host_reputation,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op10_interpolated_lm": op10_interpolated_lm,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
