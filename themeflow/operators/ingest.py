@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themeflow import schemas as S
+from themeflow.operators.skew import SALTS, salted_join
 
-SALTS = 64
 PARTIAL_K = 1000    # spark.sql.optimizer.windowGroupLimitThreshold
 
 
@@ -78,14 +78,15 @@ def quota(posts: DataFrame, limit: int, order: Order, group: str = "query_id") -
 
     The cut-off is the order position of the ``limit``-th usable post of
     each group, found with a per-group top-k; groups with fewer usable posts
-    keep everything."""
+    keep everything. Cut-offs meet the posts in parts, so a query that holds
+    most of the posts is many tasks."""
     names = [c for c, _ in order]
     usable = posts.filter(F.col("status") != "skipped").select(group, *names)
     w = Window.partitionBy(group).orderBy(*order_cols(order))
     cut = (_salted(usable, limit, group, order).withColumn("__rn", F.row_number().over(w))
            .filter(F.col("__rn") == limit)
            .select(F.col(group), *[F.col(c).alias(f"__cut_{c}") for c in names]))
-    j = posts.join(cut, group, "left")
+    j = salted_join(posts, cut, group, names).select(*posts.columns, *[c for c in cut.columns if c != group])
     return (j.filter(F.col(f"__cut_{names[-1]}").isNull() | F.coalesce(_not_after(order), F.lit(True)))
             .drop(*[f"__cut_{c}" for c in names]))
 

@@ -6,13 +6,17 @@ so every job scales with them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from themeflow.operators import export as EX
 from themeflow.operators import state as SM
 from themeflow.plans import sql as Q
 from themeflow.plans.registry import query
+from themeflow.session import checkpoint_dir
 from themeflow.sources import bindings as B
+from themeflow.sources.tables import BucketedTable
 
 A = Q.ANN_COLS
 
@@ -29,16 +33,17 @@ def _updates(spark, sf):
     li = B.table(spark, sf, "lineitem").filter((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"))
     ids = li.select(B.comment_id_of().alias("item_id"))
     re = ann.join(ids, "item_id", "left_semi")
-    first = re.withColumn("sentiment", F.lit(-1.0)).withColumn("seq", F.lit(1))
-    second = (re.withColumn("consolidated_tag", F.upper("consolidated_tag"))
-              .withColumn("sentiment", F.lit(1.0)).withColumn("seq", F.lit(2)))
+    writes = F.array(F.struct(F.lit(-1.0).alias("sentiment"), F.col("consolidated_tag"), F.lit(1).alias("seq")),
+                     F.struct(F.lit(1.0).alias("sentiment"), F.upper("consolidated_tag").alias("consolidated_tag"),
+                              F.lit(2).alias("seq")))
+    again = re.drop("sentiment").withColumn("__w", F.explode(writes)).drop("consolidated_tag").select("*", "__w.*").drop("__w")
     ev = B.event_annotations(spark, sf).select(
         "item_id", "item_type", "sentiment", F.lit(None).cast("string").alias("summary"),
         F.col("consolidated_tag").alias("raw_tag"), F.lit(True).alias("is_substantive"),
         F.lit(None).cast("string").alias("reception_reason"), "consolidated_tag",
         F.lit(None).cast("string").alias("cluster_explanation"), F.lit(None).cast("int").alias("cluster_id"),
         F.lit(None).cast("array<float>").alias("embedding"), F.lit(3).alias("seq"))
-    return first.unionByName(second).unionByName(ev)
+    return again.unionByName(ev)
 
 
 _UPD_SQL = f"""re_ids AS (
@@ -50,17 +55,29 @@ _UPD_SQL = f"""re_ids AS (
   UNION ALL
   SELECT 'e' || event_id::VARCHAR, CASE WHEN event_type = 'click' THEN 'post' WHEN event_type = 'view' THEN 'comment'
          ELSE event_type END, value / 50 - 1, NULL, event_type, true, NULL, event_type, NULL, NULL, NULL::FLOAT[], 3
-  FROM events)""", f"""latest AS (
-  SELECT {A} FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn FROM upd) WHERE rn = 1)"""
+  FROM events)"""
+# one window over stored rows and writes: the last write of each item stands
+_UPSERT_SQL = Q.with_(Q.ANNOTATIONS.replace("annotations AS (", "annotations AS MATERIALIZED (", 1), *_UPD_SQL) + f"""
+SELECT {A} FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn
+                 FROM (SELECT *, 0 AS seq FROM annotations UNION ALL SELECT * FROM upd)) WHERE rn = 1"""
 
 
-@query("upsert_annotations", Q.with_(Q.ANNOTATIONS, *_UPD_SQL) + f"""
-SELECT {A} FROM annotations WHERE item_id NOT IN (SELECT item_id FROM latest)
-UNION ALL SELECT {A} FROM latest""")
+@query("upsert_annotations", _UPSERT_SQL)
 def q_upsert(spark, sf):
     return SM.upsert(B.thread_annotations(spark, sf), _updates(spark, sf), "item_id", seq="seq")
 
 
+@query("merge_annotations_table", _UPSERT_SQL)
+def q_merge_table(spark, sf):
+    """The same writes into a stored table whose versions share the files of
+    buckets that no write touches."""
+    root = f"{checkpoint_dir(spark).rstrip('/')}/merges/annotations-{uuid.uuid4().hex}"
+    table = BucketedTable(spark, root, ["item_id"])
+    table.write(B.thread_annotations(spark, sf))
+    table.merge(SM.last_per_key(_updates(spark, sf), "item_id", "seq").drop("seq"))
+    return table.read()
+
+
 # ------------------------------------------------------- apply results
 def _results(spark, sf):
     """Model results for the pending comments: returned items fail with a

@@ -70,7 +70,7 @@ ANNOTATIONS = f"""annotations AS (
          CASE WHEN o_orderstatus <> 'P' THEN p_type END AS reception_reason,
          p_name AS consolidated_tag, 'because ' || p_brand AS cluster_explanation,
          p_size::INTEGER AS cluster_id, NULL::FLOAT[] AS embedding
-  FROM orders JOIN part ON o_custkey = p_partkey
+  FROM orders LEFT JOIN part ON o_custkey = p_partkey
   UNION ALL
   SELECT {comment_id()} AS item_id, 'comment' AS item_type,
          l_discount * 20 - 1 AS sentiment, concat_ws(' ', p_brand, p_type) AS summary,
@@ -80,7 +80,7 @@ ANNOTATIONS = f"""annotations AS (
            AS consolidated_tag,
          CASE WHEN l_tax <> 0.01 THEN 'because ' || p_brand END AS cluster_explanation,
          CASE WHEN l_tax = 0.0 THEN NULL ELSE p_size END::INTEGER AS cluster_id, NULL::FLOAT[] AS embedding
-  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)"""
 
 THEME_ROWS = """theme_rows AS (
   SELECT * FROM annotations

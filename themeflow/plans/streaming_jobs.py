@@ -13,7 +13,7 @@ from themeflow.plans.ingestion import low_quality
 from themeflow.plans.registry import query
 from themeflow.session import checkpoint_dir
 from themeflow.sources import bindings as B
-from themeflow.sources.tables import VersionedTable
+from themeflow.sources.tables import BucketedTable
 from themeflow.streaming import streams as ST
 
 
@@ -36,9 +36,8 @@ def q_stream_counts(spark, sf):
     events = events.withColumn("sentiment_raw", F.col("value") / 50 - 1)
     counts = ST.theme_counts_stream(events, "ts", "event_type", "sentiment_raw")
     root = _scratch(spark, "theme-counts")
-    table = VersionedTable(spark, root + "/table")
-    ST.run_available_now(counts, root + "/checkpoint",
-                         ST.upsert_batches(table, ["window_start", "theme", "sentiment"], ST.COUNT_SCHEMA))
+    table = BucketedTable(spark, root + "/table", ST.CELL, 8)
+    ST.run_available_now(counts, root + "/checkpoint", ST.upsert_batches(table, ST.CELL, ST.COUNT_SCHEMA))
     return table.read(schema=ST.COUNT_SCHEMA)
 
 
@@ -62,6 +61,28 @@ def q_stream_ingest(spark, sf):
     stream = ST.ingest_stream(spark, root + "/payloads").select(
         "id", "subreddit", "title", "selftext", "score", "created_utc", "status", "query_id")
     schema = stream.schema
-    table = VersionedTable(spark, root + "/posts")
+    table = BucketedTable(spark, root + "/posts", ["id"], 8)
     ST.run_available_now(stream, root + "/checkpoint", ST.upsert_batches(table, "id", schema), output_mode="append")
     return table.read(schema=schema).select("id", "query_id", "status")
+
+
+@query("stream_last_state_theme_counts", f"""
+WITH last_state AS (
+  SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
+SELECT epoch(date_trunc('day', ts))::DOUBLE AS window_start,
+       {Q.clean_text('event_type', S.UNCLUSTERED)} AS theme, {Q.bucket('value / 50 - 1')} AS sentiment,
+       count(*) AS n
+FROM last_state GROUP BY ALL""")
+def q_last_state(spark, sf):
+    """Events as changes of their user's annotation, in four batches that are
+    not in the order of time; users count in the cell of their last event."""
+    root = _scratch(spark, "last-state")
+    events = B.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("item_id"), "ts", F.col("event_type").alias("theme"),
+        (F.col("value") / 50 - 1).alias("sentiment"), "event_id")
+    events.repartition(4, "event_id").write.parquet(root + "/changes")
+    changes = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root + "/changes")
+    items = BucketedTable(spark, root + "/items", ["item_id"], 8)
+    counts = BucketedTable(spark, root + "/counts", ST.CELL, 8)
+    ST.run_available_now(changes, root + "/checkpoint", ST.last_state_batches(items, counts, ["ts", "event_id"]))
+    return counts.read().filter("n > 0")

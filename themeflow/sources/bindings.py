@@ -85,10 +85,11 @@ def thread_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``part`` is the dimension side of both joins; Catalyst/AQE broadcast it
     when its measured size is under the broadcast threshold and fall back to
-    a shuffle join otherwise (no unconditional broadcast hint)."""
+    a shuffle join otherwise (no unconditional broadcast hint). Items without
+    a part keep their annotation, without the part's words."""
     part = _part_words(spark, sf_dir)
     li = table(spark, sf_dir, "lineitem")
-    c = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    c = li.join(part, li.l_partkey == part.p_partkey, "left")
     substantive = F.col("l_returnflag") != "R"
     tag = (F.when(F.col("l_tax") == 0.0, F.lit(None).cast("string"))
            .when(F.col("l_linenumber") == 7, F.concat(F.col("p_name"), F.lit("\t")))
@@ -107,7 +108,7 @@ def thread_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("array<float>").alias("embedding"),
     )
     o = table(spark, sf_dir, "orders")
-    p = o.join(part, o.o_custkey == part.p_partkey, "inner")
+    p = o.join(part, o.o_custkey == part.p_partkey, "left")
     p_subst = F.col("o_orderstatus") != "P"
     posts = p.select(
         post_id_of("o_orderkey").alias("item_id"),

@@ -5,15 +5,22 @@ new version directory ``<root>/v=<n>``; a version counts once Spark's commit
 marker ``_SUCCESS`` is in it, and readers take the highest committed one. A
 writer never overwrites the version it reads. A writer that may repeat itself
 (a stream's batch) names its write: the name is part of the directory,
-``v=<n>@<name>``, so it is committed with the version, whoever else writes. Paths go through the Hadoop
-FileSystem of the session, so the same code runs on HDFS or object stores.
+``v=<n>@<name>``, so it is committed with the version, whoever else writes.
+Paths go through the Hadoop FileSystem of the session, so the same code runs
+on HDFS or object stores.
+
+``BucketedTable`` keeps rows in hash buckets of their key; a version is the
+list of each bucket's folder, and a merge writes only the buckets it touches.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -90,14 +97,116 @@ class VersionedTable:
         return self.write(self.spark.createDataFrame([], schema))
 
 
+    def merge(self, updates: DataFrame, keys: list[str], name: str | None = None, skip_existing: bool = False) -> int:
+        """Insert or overwrite rows by key (one row per key in ``updates``);
+        with ``skip_existing`` stored rows stay as they are."""
+        if self.latest() is None:
+            return self.write(updates.dropDuplicates(keys), name=name)
+        return self.write(_merged(self.read(), updates, keys, skip_existing), name=name)
+
+
+def _merged(base: DataFrame, updates: DataFrame, keys: list[str], skip_existing: bool) -> DataFrame:
+    from themeflow.operators.state import upsert
+    if skip_existing:  # the stored rows are the newer ones
+        return upsert(updates.dropDuplicates(keys), base, keys).select(*base.columns)
+    return upsert(base, updates, keys)
+
+
+class BucketedTable(VersionedTable):
+    """Versions of a keyed table that share the files of unchanged buckets.
+
+    A version holds one row per bucket: its folder. ``merge`` finds the
+    buckets of its rows, reads those alone, writes them to a new folder and
+    commits a list in which the others keep theirs. ``buckets`` is fixed by
+    the first version; take as many as make a bucket a file of usual size."""
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64):
+        super().__init__(spark, root)
+        self.keys, self._buckets = keys, buckets
+
+    def folders(self, version: int | None = None) -> dict[int, str]:
+        """Bucket -> folder of its rows, in a version (default: the latest)."""
+        return {r["bucket"]: r["folder"] for r in self._listed(version) if r["folder"]}
+
+    def _listed(self, version: int | None = None) -> list:
+        version = self.latest() if version is None else version
+        return [] if version is None else self.spark.read.parquet(self.path(version)).collect()
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(buckets)).cast("int")
+
+    def _open(self, folders: list[str], schema: str) -> DataFrame:
+        schema = T.StructType.fromJson(json.loads(schema))
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders)
+
+    def read(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
+        listed = self._listed(version)
+        if not listed:
+            return super().read(version, schema)
+        return self._open([r["folder"] for r in listed if r["folder"]], listed[0]["schema"])
+
+    def touching(self, rows: DataFrame) -> DataFrame:
+        """The stored rows of the buckets that the keys of ``rows`` fall into."""
+        listed = self._listed()
+        touched = self._touched(rows, listed[0]["buckets"])
+        return self._open([r["folder"] for r in listed if r["folder"] and r["bucket"] in touched], listed[0]["schema"])
+
+    def _touched(self, rows: DataFrame, buckets: int) -> set[int]:
+        return {r[0] for r in rows.select(self._bucket(buckets)).distinct().collect()}
+
+    def _put(self, df: DataFrame, buckets: int) -> dict[int, str]:
+        """Write ``df`` by bucket into a new folder."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        (df.withColumn("__bucket", self._bucket(buckets)).repartition("__bucket")
+         .write.partitionBy("__bucket").parquet(folder))
+        fs, p, _ = _fs(self.spark, folder)
+        return {int(st.getPath().getName().split("=")[1]): f"{folder}/{st.getPath().getName()}"
+                for st in fs.listStatus(p) if st.isDirectory() and "=" in st.getPath().getName()}
+
+    def _commit(self, folders: dict[int, str], schema: str, buckets: int, version: int | None, name: str | None) -> int:
+        rows = [(b, f, schema, buckets) for b, f in folders.items()] or [(None, None, schema, buckets)]
+        listed = self.spark.createDataFrame(rows, "bucket int, folder string, schema string, buckets int")
+        return super().write(listed.coalesce(1), version, name)
+
+    def write(self, df: DataFrame, version: int | None = None, name: str | None = None) -> int:
+        """All rows anew (``df`` has the whole table)."""
+        committed = self._committed()
+        if version in committed:
+            return version
+        if name and self.holds(name):
+            return next(v for v, n in committed.items() if n == name)
+        listed = self._listed()
+        buckets = listed[0]["buckets"] if listed else self._buckets
+        return self._commit(self._put(df, buckets), df.schema.json(), buckets, version, name)
+
+    def merge(self, updates: DataFrame, keys: list[str] | None = None, name: str | None = None,
+              skip_existing: bool = False) -> int:
+        """Insert or overwrite rows by key; only buckets with such rows are
+        written. ``updates`` is stored first, so it is computed once."""
+        from themeflow.session import materialize
+        if keys not in (None, self.keys):
+            raise ValueError(f"the table's keys are {self.keys}")
+        if name and self.holds(name):
+            return next(v for v, n in self._committed().items() if n == name)
+        listed = self._listed()
+        if not listed:
+            return self.write(updates.dropDuplicates(self.keys), name=name)
+        schema, buckets, folders = listed[0]["schema"], listed[0]["buckets"], self.folders()
+        updates = materialize(updates, "merge")
+        touched = self._touched(updates, buckets)
+        base = self._open([f for b, f in folders.items() if b in touched], schema)
+        new = self._put(_merged(base, updates.select(*base.columns), self.keys, skip_existing), buckets)
+        return self._commit(folders | new, schema, buckets, None, name)
+
+
 def write_workspace_table(df: DataFrame, root: str, workspace: str, mode: str = "overwrite") -> None:
     """Tables of many subjects in one layout, one partition per workspace;
     readers filtering on ``workspace`` only list that partition."""
-    from pyspark.sql import functions as F
     (df.withColumn("workspace", F.lit(workspace_name(workspace)))
        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("workspace").parquet(root))
 
 
 def read_workspace_table(spark: SparkSession, root: str, workspace: str) -> DataFrame:
-    from pyspark.sql import functions as F
     return spark.read.parquet(root).filter(F.col("workspace") == workspace_name(workspace)).drop("workspace")

@@ -5,7 +5,11 @@
   of the files (posts do not come in the order of their creation).
 * ``upsert_batches``: ``foreachBatch`` sink merging each micro-batch into a
   versioned table; the write is named after stream and batch, so a replayed
-  batch changes nothing and versions of other writers do not matter.
+  batch changes nothing and versions of other writers do not matter. A
+  bucketed table rewrites only the buckets that the batch falls into.
+* ``last_state_batches``: ``foreachBatch`` sink for changes of items; an item
+  that changes leaves its old window cell, so the counts are those of the last
+  state of all items.
 * ``theme_counts_stream``: tumbling-window counts per theme and sentiment
   bucket with a watermark bounding the state; written in update mode into a
   keyed table, the final table equals the batch aggregate.
@@ -19,9 +23,9 @@ from pyspark.sql import types as T
 
 from themeflow.functions.text import clean_label, epoch_seconds, sentiment_bucket
 from themeflow.operators.ingest import initial_status, with_defaults
-from themeflow.operators.state import upsert
+from themeflow.session import materialize
 from themeflow.sources import payloads as PL
-from themeflow.sources.tables import VersionedTable
+from themeflow.sources.tables import BucketedTable, VersionedTable
 
 
 def ingest_stream(spark: SparkSession, search_dir: str, watermark: str = "1 day") -> DataFrame:
@@ -52,15 +56,51 @@ def upsert_batches(table: VersionedTable, key: str | list[str], schema: T.Struct
             # or the stream's state of it would be missing
             batch.write.format("noop").mode("overwrite").save()
             return
-        upd = batch.select(*schema.fieldNames())
-        if table.latest() is None:
-            merged = upd.dropDuplicates(keys)
-        elif skip_existing:
-            base = table.read()
-            merged = base.unionByName(upd.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti"))
-        else:
-            merged = upsert(table.read(), upd, keys)
-        table.write(merged, name=name)
+        table.merge(batch.select(*schema.fieldNames()), keys, name, skip_existing)
+
+    return merge
+
+
+CELL = ["window_start", "theme", "sentiment"]
+
+
+def last_state_batches(items: BucketedTable, counts: BucketedTable, order: list[str], stream: str = "changes",
+                       window: str = "1 day"):
+    """A ``foreachBatch`` function for changes (item_id, ts, theme, sentiment
+    and the ``order`` columns): ``items`` keeps the last change of each item,
+    ``counts`` the number of items in each window cell.
+
+    A change counts +1 in its cell and -1 in the one that the item leaves; a
+    change that comes after a later one of its item is dropped. Both tables
+    are keyed by name and batch, counts first, so a batch that broke off
+    between them is finished, not counted twice, when it is replayed."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        name = f"{stream}-{batch_id}"
+        if items.holds(name):
+            batch.write.format("noop").mode("overwrite").save()
+            return
+        start = F.unix_micros(F.window(F.timestamp_seconds(epoch_seconds("ts")), window)["start"]) / 1e6
+        cells = batch.select("item_id", F.struct(*order).alias("seq"), start.alias("window_start"),
+                             clean_label(F.col("theme")).alias("theme"), sentiment_bucket(F.col("sentiment")).alias("sentiment"))
+        last = cells.groupBy("item_id").agg(F.max_by(F.struct("seq", *CELL), "seq").alias("s")).select("item_id", "s.*")
+        last = materialize(last, "last-changes")
+        if items.latest() is None:
+            items.write(last.limit(0))
+            counts.write(last.select(*CELL, F.lit(0).cast("long").alias("n")).limit(0))
+        old = items.touching(last).select("item_id", F.struct("seq", *CELL).alias("old"))
+        moved = last.join(old, "item_id", "left").filter(F.col("old").isNull() | (F.col("seq") > F.col("old.seq")))
+        moved = materialize(moved, "moved")
+        enters = moved.select(*CELL, F.lit(1).cast("long").alias("n"))
+        leaves = moved.filter("old IS NOT NULL").select("old.*").select(*CELL, F.lit(-1).cast("long").alias("n"))
+        delta = enters.unionByName(leaves).groupBy(*CELL).agg(F.sum("n").alias("n")).filter("n <> 0")
+        if not counts.holds(name):
+            delta = materialize(delta, "cells")
+            both = (counts.touching(delta).withColumn("new", F.lit(False))
+                    .unionByName(delta.withColumn("new", F.lit(True))))
+            sums = both.groupBy(*CELL).agg(F.sum("n").alias("n"), F.bool_or("new").alias("new"))
+            counts.merge(sums.filter("new").drop("new"), None, name)
+        items.merge(moved.drop("old"), None, name)
 
     return merge
 
