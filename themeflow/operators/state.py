@@ -154,6 +154,16 @@ def evolve_annotations(annotations: DataFrame) -> DataFrame:
     return out
 
 
+def backfill_annotations(merged: DataFrame) -> DataFrame:
+    """Rows of several layouts read as one (``tables.open_table``): those
+    without a flag get it, and their reason, by the back-fill rules."""
+    ann = evolve_annotations(merged)
+    old = F.col("is_substantive").isNull()
+    flag = F.coalesce("is_substantive", F.lower("raw_tag") != "reaction only", F.lit(True))
+    return ann.withColumns({"is_substantive": flag, "reception_reason": F.when(old & flag, F.col("raw_tag")).otherwise(
+        F.when(~old, F.col("reception_reason")))})
+
+
 def delete_items(items: DataFrame, annotations: DataFrame, ids) -> tuple[DataFrame, DataFrame]:
     """Delete items and their annotations (child comments stay)."""
     sel = _ids_frame(items.sparkSession, ids)

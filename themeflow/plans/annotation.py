@@ -13,7 +13,6 @@ from themeflow.schemas import ANNOTATIONS
 from themeflow.operators import state as SM
 from themeflow.plans import sql as Q
 from themeflow.plans.registry import query
-from themeflow.session import materialize
 from themeflow.sources import bindings as B
 
 
@@ -73,19 +72,60 @@ def echo_model(texts: list[str]) -> list[str]:
     return out
 
 
-@query("annotate_threads", None)
-def q_annotate(spark, sf):
-    """Queue -> model (mapInPandas) -> parse -> merge into items/annotations.
-    Returns the new annotations of the conversation threads."""
-    cands = B.conversation_candidates(spark, sf)
-    posts = cands.select("id", "subreddit", "title", "selftext", "score", "created_utc",
-                         F.lit("pending").alias("status"))
+def _threads(spark, sf):
+    """Conversations as pending posts and comments; missing texts are empty,
+    as in the ingest jobs."""
+    posts = B.conversation_candidates(spark, sf).select(
+        "id", "subreddit", "title", "selftext", "score", "created_utc", F.lit("pending").alias("status"))
     comments = B.conversation_comment_candidates(spark, sf).select(
         "id", "post_id", "body", "score", "created_utc", F.lit("pending").alias("status"))
-    inputs = AN.annotation_inputs(posts, comments)
-    # stored once: merging reads the results twice, and must not call the model again
-    parsed = materialize(AN.parse_item_responses(AN.call_model(inputs, echo_model).drop("text")), "results")
-    empty = spark.createDataFrame([], ANNOTATIONS)
-    _, new_ann = SM.apply_annotation_results(comments, empty, parsed)
+    return posts.fillna("", ["title", "selftext"]), comments.fillna("", ["body"])
+
+
+_INPUTS_SQL = """inputs AS (
+  SELECT 'c' || conv_id::VARCHAR AS item_id, 'post' AS item_type,
+         'Title: ' || coalesce(text, '') || chr(10) || chr(10) || 'Body: ' || coalesce(text, '') AS text
+  FROM conversations WHERE turn = 0
+  UNION ALL
+  SELECT 'c' || conv_id::VARCHAR || '-' || turn::VARCHAR, 'comment', coalesce(text, '') FROM conversations WHERE turn > 0)"""
+
+
+@query("annotate_threads", Q.with_(_INPUTS_SQL) + """
+SELECT item_id, item_type, CASE WHEN length(text) > 200 THEN 1.0 ELSE -0.5 END::DOUBLE AS sentiment, text AS summary,
+       CASE WHEN length(text) > 200 THEN 'long reply' ELSE 'Reaction Only' END AS raw_tag,
+       length(text) > 200 AS is_substantive, CASE WHEN length(text) > 200 THEN 'long reply' END AS reception_reason,
+       NULL::VARCHAR AS consolidated_tag, NULL::VARCHAR AS cluster_explanation,
+       NULL::INTEGER AS cluster_id, NULL::FLOAT[] AS embedding FROM inputs""")
+def q_annotate(spark, sf):
+    """Queue -> model in rounds -> parse -> merge into items/annotations.
+    Returns the new annotations of the conversation threads."""
+    posts, comments = _threads(spark, sf)
+    parsed = AN.annotate_items(posts, comments, echo_model)
+    _, new_ann = SM.apply_annotation_results(comments, spark.createDataFrame([], ANNOTATIONS), parsed)
     return new_ann
 
+
+def limited_model(texts: list[str], target_subject: str = "") -> list[str]:
+    """A stand-in that never answers texts of certain lengths, and answers
+    the others with the subject."""
+    if any(len(t) % 14 == 7 for t in texts):
+        raise RuntimeError("429 rate limit")
+    if any(len(t) % 14 == 0 for t in texts):
+        raise RuntimeError("no such model")
+    return [json.dumps({"sentiment": 0, "summary": f"on {target_subject}", "raw_tag": "reply"}) for _ in texts]
+
+
+@query("annotate_threads_in_rounds", Q.with_(_INPUTS_SQL) + """
+SELECT item_id, item_type, CASE WHEN length(text) % 7 <> 0 THEN 0.0 END::DOUBLE AS sentiment,
+       CASE WHEN length(text) % 7 <> 0 THEN 'on the finale' END AS summary,
+       CASE WHEN length(text) % 7 <> 0 THEN 'reply' END AS raw_tag,
+       CASE WHEN length(text) % 7 <> 0 THEN true END AS is_substantive,
+       CASE WHEN length(text) % 7 <> 0 THEN 'reply' END AS reception_reason,
+       CASE WHEN length(text) % 14 = 7 THEN 'RuntimeError: 429 rate limit'
+            WHEN length(text) % 14 = 0 THEN 'RuntimeError: no such model' END AS error,
+       CASE WHEN length(text) % 14 = 7 THEN 3 ELSE 1 END::INTEGER AS attempts, 'the finale' AS target_subject
+FROM inputs""")
+def q_rounds(spark, sf):
+    """A target subject, calls that fail for good, and calls that fail for a
+    passing reason until no attempt is left."""
+    return AN.annotate_items(*_threads(spark, sf), limited_model, target_subject="the finale")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from themeflow import schemas as S
 from themeflow.operators import filters as FL
 from themeflow.operators import ingest as IN
 from themeflow.plans import sql as Q
 from themeflow.plans.registry import query
+from themeflow.session import checkpoint_dir
 from themeflow.sources import bindings as B
+from themeflow.sources import payloads as PL
 
 POST_LIMIT = 50
 COMMENT_LIMIT = 3
@@ -204,3 +209,60 @@ def q_retry(spark, sf):
                     .otherwise("invalid JSON").alias("error"),
                     (F.col("user_id") % 4).cast("int").alias("attempts"))
     return retry_queue(res)
+
+
+# ------------------------------------------------------------ payload files
+_CUT_LINE = '{"query_id":"r' + "' || conv_id || '" + '","source_priority":1,"page_no":1,"data":{"after":null,"children":[]}}'
+_LINES_SQL = f"""lines AS (
+  SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN substr(line, 1, 30) WHEN 1 THEN '[' || line || ']'
+         WHEN 2 THEN replace(line, '"page_no":1', '"page_no":"first"') WHEN 3 THEN replace(line, '"query_id"', '"q"')
+         WHEN 4 THEN '' ELSE line END AS record
+  FROM (SELECT conv_id, '{_CUT_LINE}' AS line FROM conversations WHERE turn = 0))"""
+
+
+@query("payload_quarantine", Q.with_(_LINES_SQL) + """
+SELECT record, CASE conv_id % 6 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'not an object'
+       WHEN 2 THEN 'field of a wrong type' ELSE 'no query_id' END AS reason
+FROM lines WHERE conv_id % 6 < 4""")
+def q_quarantine(spark, sf):
+    """A payload line per conversation, five in six of them broken in some
+    way, written as files; those that cannot be read whole, with the reason."""
+    line = F.format_string(_CUT_LINE.replace("' || conv_id || '", "%s"), F.col("conv_id").cast("string"))
+    kind = F.col("conv_id") % 6
+    record = (F.when(kind == 0, F.substring(line, 1, 30)).when(kind == 1, F.concat(F.lit("["), line, F.lit("]")))
+              .when(kind == 2, F.replace(line, F.lit('"page_no":1'), F.lit('"page_no":"first"')))
+              .when(kind == 3, F.replace(line, F.lit('"query_id"'), F.lit('"q"')))
+              .when(kind == 4, F.lit("")).otherwise(line))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/payloads/{uuid.uuid4().hex}"
+    B.table(spark, sf, "conversations").filter("turn = 0").select(record.alias("value")).write.text(root)
+    return PL.rejected_payloads(spark, "search", root).select("record", "reason")
+
+
+@query("search_source_fallback", """
+WITH pages AS (
+  SELECT conv_id % 40 AS query_id, 1 + conv_id % 3 AS source_priority, conv_id // 120 AS page_no,
+         CASE WHEN (conv_id % 40) % 3 >= 1 + conv_id % 3 AND conv_id // 120 = first_page THEN [] ELSE ids END AS ids
+  FROM (SELECT conv_id, list(conv_id) OVER w AS ids, min(conv_id // 120) OVER (PARTITION BY conv_id % 40, conv_id % 3)
+               AS first_page, row_number() OVER w AS nth
+        FROM conversations WHERE turn = 0
+        WINDOW w AS (PARTITION BY conv_id % 40, conv_id % 3, conv_id // 120)) WHERE nth = 1
+), chosen AS (
+  SELECT query_id, min(source_priority) AS source_priority
+  FROM (SELECT query_id, source_priority, arg_min(len(ids), page_no) AS n FROM pages GROUP BY ALL) WHERE n > 0 GROUP BY ALL)
+SELECT query_id::VARCHAR AS query_id, source_priority::INTEGER AS source_priority, 'c' || unnest(ids)::VARCHAR AS id
+FROM pages JOIN chosen USING (query_id, source_priority)""")
+def q_fallback(spark, sf):
+    """Search pages of three sources; sources whose first page is empty are
+    passed over."""
+    conv = B.table(spark, sf, "conversations").filter("turn = 0").select(
+        (F.col("conv_id") % 40).alias("q"), (1 + F.col("conv_id") % 3).alias("s"),
+        F.floor(F.col("conv_id") / 120).alias("page_no"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"))
+    first = conv.groupBy("q", "s").agg(F.min("page_no").alias("first"))
+    post = F.struct(*[(F.col("id") if f.name == "id" else F.lit(None).cast(f.dataType)).alias(f.name)
+                      for f in S.POST_FIELDS.fields])
+    pages = conv.groupBy("q", "s", "page_no").agg(F.collect_list(post).alias("posts")).join(first, ["q", "s"])
+    empty = (F.col("q") % 3 >= F.col("s")) & (F.col("page_no") == F.col("first"))
+    pages = pages.select(F.col("q").cast("string").alias("query_id"), F.col("s").cast("int").alias("source_priority"),
+                         F.col("page_no").cast("int").alias("page_no"),
+                         F.when(empty, F.slice("posts", 1, 0)).otherwise(F.col("posts")).alias("posts"))
+    return PL.post_candidates(PL.choose_search_source(pages)).select("query_id", "source_priority", "id")

@@ -16,7 +16,8 @@ from themeflow.plans import sql as Q
 from themeflow.plans.registry import query
 from themeflow.session import checkpoint_dir
 from themeflow.sources import bindings as B
-from themeflow.sources.tables import BucketedTable
+from themeflow.sources.tables import (BucketedTable, open_table, read_workspace_table, workspace_name,
+                                      write_workspaces)
 
 A = Q.ANN_COLS
 
@@ -330,3 +331,48 @@ def q_combined(spark, sf):
        _COMBINED_SQL.format(text=_TEXT, sub="pp.subreddit", join="LEFT JOIN posts pp ON c.post_id = pp.id"))
 def q_combined_sub(spark, sf):
     return EX.combined_items(*_tables(spark, sf), parent_subreddit=True)
+
+
+# ----------------------------------------------------------- resets of a kind
+@query("reset_to_pending_annotations", Q.with_(Q.COMMENTS, Q.ANNOTATIONS, _PICKED_SQL) + f"""
+SELECT {A} FROM annotations
+WHERE item_id NOT IN (SELECT c.id FROM comments c WHERE c.id IN (SELECT id FROM picked))""")
+def q_reset_to_pending(spark, sf):
+    """A selection of comments; ids of posts in it touch nothing."""
+    return SM.reset_to_pending(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), _picked_ids(spark, sf))[1]
+
+
+# -------------------------------------------------------------------- layouts
+def _scratch(spark, name):
+    return f"{checkpoint_dir(spark).rstrip('/')}/layouts/{name}-{uuid.uuid4().hex}"
+
+
+@query("annotations_of_merged_layouts", Q.with_(Q.ANNOTATIONS) + """
+SELECT item_id, item_type, sentiment, summary, raw_tag, consolidated_tag, cluster_id, embedding,
+       CASE WHEN item_type = 'comment' THEN cluster_explanation END AS cluster_explanation,
+       CASE WHEN item_type = 'comment' THEN is_substantive
+            ELSE coalesce(lower(raw_tag) <> 'reaction only', true) END AS is_substantive,
+       CASE WHEN item_type = 'comment' THEN reception_reason
+            WHEN coalesce(lower(raw_tag) <> 'reaction only', true) THEN raw_tag END AS reception_reason
+FROM annotations""")
+def q_merged_layouts(spark, sf):
+    """Posts' annotations in files of the old layout, comments' in files of
+    the new one, read as one table."""
+    root = _scratch(spark, "merged")
+    ann = B.thread_annotations(spark, sf)
+    old = ann.filter("item_type = 'post'").drop("cluster_explanation", "is_substantive", "reception_reason")
+    old.write.parquet(f"{root}/annotation")
+    ann.filter("item_type = 'comment'").write.mode("append").parquet(f"{root}/annotation")
+    return SM.backfill_annotations(open_table(spark, root, "annotation"))
+
+
+@query("workspace_posts", Q.with_(Q.POSTS) + f"""
+SELECT {Q.POST_COLS}, '4-NOTSPECIFIED' AS workspace FROM posts WHERE subreddit = '4-NOT SPECIFIED'
+UNION ALL SELECT {Q.POST_COLS}, '1-URGENT' FROM posts WHERE subreddit = '1-URGENT'""")
+def q_workspace(spark, sf):
+    """All posts stored by workspace, then two workspaces read."""
+    root = _scratch(spark, "workspaces")
+    write_workspaces(B.thread_posts(spark, sf), root, "subreddit")
+    names = ("4-NOT SPECIFIED", "1-URGENT")
+    parts = [read_workspace_table(spark, root, n).withColumn("workspace", F.lit(workspace_name(n))) for n in names]
+    return parts[0].unionByName(parts[1])

@@ -57,6 +57,40 @@ def json_lines(spark: SparkSession, schema: T.StructType, path: str) -> DataFram
     return spark.read.schema(schema).json(path)
 
 
+#: Reader kinds: the schema of a line and the field that says whose payload it is.
+PAYLOAD_KINDS = {"search": (_SEARCH_FILE, "query_id"), "archive": (_ARCHIVE_FILE, "query_id"),
+                 "comments": (_COMMENT_FILE, "post_id"), "archive_comments": (_ARCHIVE_COMMENT_FILE, "post_id")}
+_RECORD = "_corrupt_record"
+
+
+def _rejects(lines: DataFrame, kind: str) -> DataFrame:
+    """(file, record, reason) of the lines of ``value`` that are no whole
+    payload. Lines with fields of a wrong type are read as far as they go and
+    listed as well; empty lines are none."""
+    schema, owner = PAYLOAD_KINDS[kind]
+    full = T.StructType([*schema.fields, T.StructField(_RECORD, T.StringType())])
+    parsed = lines.select("file", F.col("value").alias("record"), F.from_json(
+        "value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RECORD}).alias("p"),
+        F.try_parse_json("value").alias("json"))
+    reason = (F.when(F.col("json").isNull(), F.lit("not JSON"))
+              .when(~F.schema_of_variant("json").startswith("OBJECT"), F.lit("not an object"))
+              .when(F.col(f"p.{_RECORD}").isNotNull(), F.lit("field of a wrong type"))
+              .when(F.coalesce(F.col(f"p.{owner}"), F.lit("")) == "", F.lit(f"no {owner}")))
+    return parsed.select("file", "record", reason.alias("reason")).filter(
+        F.col("reason").isNotNull() & (F.trim("record") != ""))
+
+
+def rejected_payloads(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """Payload lines under ``path`` that cannot be read as a ``kind`` of
+    ``PAYLOAD_KINDS``, one row per line with its file and the reason."""
+    return _rejects(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")), kind)
+
+
+def rejected_stream(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """The same of payload files that arrive in a folder."""
+    return _rejects(spark.readStream.text(path).select("value", F.col("_metadata.file_path").alias("file")), kind)
+
+
 def search_pages(spark: SparkSession, path: str, reader=json_lines) -> DataFrame:
     """Direct/browser search pages -> one row per page with its posts array."""
     return search_page_rows(reader(spark, _SEARCH_FILE, path))

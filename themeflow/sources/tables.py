@@ -201,6 +201,24 @@ class BucketedTable(VersionedTable):
         return self._commit(folders | new, schema, buckets, None, name)
 
 
+def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The table ``name`` of the folder ``root``, its files' layouts merged:
+    a column that some files lack is null in their rows."""
+    fs, p, jvm = _fs(spark, root)
+    if not fs.exists(p):
+        raise FileNotFoundError(f"no tables at {root}")
+    if not fs.exists(jvm.org.apache.hadoop.fs.Path(p, name)):
+        raise ValueError(f"{root} does not contain a table {name!r}")
+    return spark.read.option("mergeSchema", "true").parquet(f"{root.rstrip('/')}/{name}")
+
+
+def write_workspaces(df: DataFrame, root: str, column: str, mode: str = "overwrite") -> None:
+    """All workspaces at once: the value of ``column`` names the row's."""
+    name = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?U)[^\w-]+", "")
+    (df.withColumn("workspace", F.when(name == "", F.lit("default")).otherwise(name))
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("workspace").parquet(root))
+
+
 def write_workspace_table(df: DataFrame, root: str, workspace: str, mode: str = "overwrite") -> None:
     """Tables of many subjects in one layout, one partition per workspace;
     readers filtering on ``workspace`` only list that partition."""
@@ -209,4 +227,10 @@ def write_workspace_table(df: DataFrame, root: str, workspace: str, mode: str =
 
 
 def read_workspace_table(spark: SparkSession, root: str, workspace: str) -> DataFrame:
-    return spark.read.parquet(root).filter(F.col("workspace") == workspace_name(workspace)).drop("workspace")
+    """One workspace: its folder alone is listed and read. (A filter on the
+    column would compare numbers where all names look like numbers.)"""
+    path = f"{root.rstrip('/')}/workspace={workspace_name(workspace)}"
+    fs, p, _ = _fs(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(f"no workspace {workspace_name(workspace)!r} at {root}")
+    return spark.read.parquet(path)
