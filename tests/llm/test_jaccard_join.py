@@ -102,7 +102,7 @@ def test_odd_rows_and_columns(spark, odd_docs, no_docs):
     assert got[0] == (0, 0) and got[3] == (1, 3) and got[4] == (1, 3) and got[50] == (1, 5) and got[51] == (1, 9)
     kept = J.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == [
-        0, 1, 2, 3, 5, 7, 8, 9, 10, 11]
+        0, 1, 2, 3, 5, 7, 8, 9, 10, 11]      # one of the rows with id 50 is like row 5, and so on
     assert J.similar_documents(no_docs).count() == 0 and J.one_of_each(no_docs).count() == 0
     nulls = docs(spark, [(None, "a b c d e"), (4, "a b c d e"), (4, "p q r s")])
     assert sorted_rows(J.similar_documents(nulls)) == sorted([(None, 2, None), (4, 2, None), (4, 1, 4)], key=str)
@@ -154,3 +154,20 @@ def test_one_component_makes_no_pairs(monkeypatch):
     pairs = {p for b in J._cross_pairs(t, 85) for p in zip(b["a"].to_pylist(), b["b"].to_pylist())}
     assert pairs == {(min(o, k), max(o, k)) for o in (5, 700, n - 1) for k in range(n) if k != o}
     assert sum(made) <= outside * n
+
+
+def test_rows_without_copies_stay_whatever_their_ids(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, "a b c d e"), (None, "p q r s t"), (7, "f g h i j"), (7, "k l m n o"),     # no two alike
+            (3, ""), (3, ""), (None, None), (4, " "), (4, None),                              # without words
+            (9, words), (8, words), (8, words), (10, words + " more"), (11, "one two"), (11, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "1 AS id", "2 AS print", "3 AS __id")
+    out = J.one_of_each(df)
+    assert out.columns == df.columns
+    want = rows[:9] + [(8, words), (11, "one two")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_null_id_is_the_smallest_of_its_group(spark):
+    rows = [(5, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
+    assert [tuple(r) for r in J.one_of_each(docs(spark, rows)).collect()] == [(None, "a b c d e f")]

@@ -30,7 +30,7 @@ def test_run_equals_the_stages_by_brute_force(spark):
         if len(text or "") < 1200:
             assert naive_report(text)[6] == (doc in kept)
     rows = clean_lines([r for r in rows if r[0] in kept])
-    groups = {d: c for d, _, c in jaccard_join.brute_force(rows)}
+    groups = {d: c for d, _, c in jaccard_join.brute_force(rows, 5, 80)}
     rows = [r for r in rows if groups[r[0]] == r[0]]
     s = MatchSettings()
     items = [plain(pa.array([r.text]))[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

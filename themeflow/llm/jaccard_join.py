@@ -6,12 +6,13 @@ of at least t, then under *any* one order of all tokens the first
 part only if, under every order, it shares a prefix token with another
 document of a fitting size that passed the orders before:
 
-0. by hash. It shows which tokens are common (a bounded list of the
-   ``common_tokens`` most frequent prefix tokens; any order is valid, the list
-   only decides how good the next ones are);
 1. common tokens last, by how common, then by hash;
 2. the same with another hash, over the documents that passed order 1.
 
+Which tokens are common is counted on the prefixes by hash of one set in
+``COMMON_SAMPLE`` (a bounded list of the ``common_tokens`` most frequent; any
+order is valid, so no result depends on it, only how few pairs are tried).
+
 Equal sets are one row from the start, under a 64-bit set id. Rows of order 2
 carry a sketch: how many tokens fall in each of 256 parts of the hash space. The
 differences of two sketches add up to no more than the sets' symmetric
@@ -59,6 +60,8 @@ PIECE = 1 << 16
 PARTS = 256
 #: Parts of a long run in a hub round.
 SALTED = 64
+#: One set in so many shows which tokens are common.
+COMMON_SAMPLE = 8
 #: Hashes of the two orders that put common tokens last.
 SALTS = (1, 2)
 
@@ -68,7 +71,7 @@ class JoinSettings:
     k: int = 4
     percent: int = 85
     common_tokens: int = 1 << 20
-    common_from: int = 16
+    common_from: int = 2
     hub_rounds: int = 1
     broadcast_ids: int = 1 << 18
     run_limit: int = 1 << 14
@@ -153,18 +156,21 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
 
 
 def members(docs: DataFrame, s: JoinSettings) -> DataFrame:
-    """Per document: id, set id (null: empty), size, and the prefix by hash."""
+    """Per document: id, ``print`` (as it came), set id (null: empty), size,
+    and the prefix by hash of the sampled sets."""
     k, percent = s.k, s.percent
 
     def rows(batches):
         for part in text_slices(batches):
             sets = shingle_sets(part.column("text"), k)
+            ids = [set_id(t) if len(t) else None for t in sets]
+            none = np.empty(0, np.uint64)
+            first = [prefix(t, percent, 0) if i is not None and not i % COMMON_SAMPLE else none for i, t in zip(ids, sets)]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([set_id(t) if len(t) else None for t in sets], pa.int64()),
-                 pa.array([len(t) for t in sets], pa.int64()), _longs([prefix(t, percent, 0) for t in sets])],
-                ["doc_id", "sid", "n", "first"])
+                [part.column("doc_id"), part.column("print"), pa.array(ids, pa.int64()),
+                 pa.array([len(t) for t in sets], pa.int64()), _longs(first)], ["doc_id", "print", "sid", "n", "first"])
 
-    return docs.mapInArrow(rows, "doc_id long, sid long, n long, first array<long>")
+    return docs.mapInArrow(rows, "doc_id long, print long, sid long, n long, first array<long>")
 
 
 def features(docs: DataFrame, s: JoinSettings, common) -> DataFrame:
@@ -541,11 +547,11 @@ def _common_tokens(rows: DataFrame, s: JoinSettings) -> tuple[np.ndarray, np.nda
 
 def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: str = "doc_id",
                    text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, sid, n; sets that have links: node, component),
-    both stored. Components are exact; links within one are not all listed."""
+    """(documents: doc_id, print, sid, n; sets that have links: node,
+    component), both stored; ``print`` is a hash of the text. Components are exact; links within one are not all listed."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long").alias("doc_id"),
-                       F.col(text_col).alias("text"))
+                       F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"))
     own = Stored(members(docs, s), "join-members")
     owners = (own.read().filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     prefixes = own.read().select(F.explode("first").alias("token"))
@@ -624,20 +630,34 @@ def similar_documents(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col:
 
 def one_of_each(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, one
-    for each id (all columns kept)."""
-    key = F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long")
-    groups = (similar_documents(docs, s, id_col, text_col)
-              .select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__id"),
-                      F.coalesce("component_id", F.lit(NULL_ID)).alias("__component"))
-              .groupBy("__id").agg(F.min("__component").alias("__component"), F.count(F.lit(1)).alias("__rows")))
-    groups = Stored(groups, "join-groups").read()
-    # those that go are far fewer than those that stay
-    gone = groups.filter("__id != __component").select("__id")
-    kept = docs.withColumn("__id", key).join(gone, "__id", "left_anti")
-    if groups.filter("__rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__id"])
-    return kept.drop("__id")
+    """The rows of ``docs`` without near copies: one row of each component
+    stays, that of the smallest id (a null is the smallest; of equal ids, that
+    of the smaller hash of the text). Rows without words are linked with
+    nothing and all stay; ids say nothing otherwise, so rows with equal or
+    null ids and different texts stay too. All columns are kept."""
+    own, found = set_components(docs, s, id_col, text_col)
+    placed = (own.filter("sid is not null").join(found.select(F.col("node").alias("sid"), "component"), "sid", "left")
+              .select("doc_id", "print", F.coalesce("component", "sid").alias("component")))
+    copies = placed.groupBy("component").agg(F.min(F.struct("doc_id", "print")).alias("stays"), F.count(F.lit(1)).alias("c"))
+    judged = placed.join(copies.filter("c > 1"), "component").withColumn("goes", F.struct("doc_id", "print") != F.col("stays"))
+    # those that go, and those of which several equal rows would stay, are far fewer than the others
+    few = Stored(judged.groupBy("doc_id", "print").agg(F.max("goes").alias("goes"), F.count(F.lit(1)).alias("c"))
+                 .filter("goes or c > 1").select(F.col("doc_id").alias(_free(docs, "id")), F.col("print").alias(_free(docs, "print")),
+                                                 F.col("goes").alias(_free(docs, "goes"))), "join-few").read()
+    key, mark, goes = few.columns
+    rows = docs.withColumns({key: F.coalesce(F.col(id_col), F.lit(NULL_ID)).cast("long"), mark: F.xxhash64(text_col)})
+    kept = rows.join(few, [key, mark], "left_anti")
+    twice = few.filter(~F.col(goes)).drop(goes)
+    if not twice.isEmpty():
+        kept = kept.unionByName(rows.join(twice, [key, mark], "left_semi").dropDuplicates([key, mark]))
+    return kept.select(*docs.columns)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int = 4, percent: int = 85) -> list[tuple]:
