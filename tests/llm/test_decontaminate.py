@@ -75,9 +75,9 @@ def test_myers_is_the_edit_distance():
 
 def test_odd_rows_and_columns(spark, odd_docs, no_docs):
     _, items = frames(spark, [(0, "")])
-    assert contamination(odd_docs, items).count() == 0
+    assert sorted_rows(contamination(odd_docs, items)) == [(11, 2, 0)]       # the word "short"
     kept = remove_contaminated(odd_docs, items)
-    assert kept.columns == odd_docs.columns and sorted_rows(kept) == sorted_rows(odd_docs)
+    assert kept.columns == odd_docs.columns and sorted_rows(kept) == sorted_rows(odd_docs.filter("doc_id <> 11"))
     assert contamination(no_docs, items).count() == 0 and remove_contaminated(no_docs, items).count() == 0
     none = items.filter("false")
     assert contamination(odd_docs, none).columns == ["doc_id", "item_id", "edits"]
@@ -101,3 +101,15 @@ def test_scanner_gives_least_edits_of_several_places():
     item = plain(pa.array([ITEMS[0]]))[0]
     text = item.replace("fox", "cat") + " ... " * 30 + item.replace("f", "v")
     assert dict(ItemScanner([(5, item)], MatchSettings()).find(text)) == {5: 1}
+
+
+def test_short_items_are_found_as_words(spark):
+    items = [("a", "Paris"), ("b", "E = mc2"), ("c", ""), ("d", None), ("e", " 42 "), ("f", ITEMS[1])]
+    rows = [(0, "we love PARIS"), (1, "comparison"), (2, "paris"), (3, "so e  =\nmc2, you see"), (4, "E = mc2 is"), (5, "142 421"),
+            (6, "it is 42 now"), (7, "Parisian"), (8, None), (9, "pariss paris")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted_rows(contamination(docs, names))
+    assert got == sorted(brute_force(rows, items), key=str)
+    assert {(d, i) for d, i, _ in got} == {(0, "a"), (2, "a"), (9, "a"), (4, "b"), (6, "e")}
+    assert {r.doc_id for r in remove_contaminated(docs, names).collect()} == {1, 3, 5, 7, 8}

@@ -130,3 +130,16 @@ def test_whole_table(spark):
         assert own.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert (own.n_assign, own.n_access, own.n_hex) == tuple(sum(k == j for _, k, _ in found) for j in range(3))
     assert sorted_rows(QUERIES["op7_secret_scan"](spark, "/root/testdata/sf0.001")) == sorted(map(tuple, got.values()), key=str)
+
+
+@pytest.mark.parametrize("letters", [string.ascii_lowercase, string.ascii_uppercase, string.digits, "ABCDEF0123456789"])
+def test_strings_of_one_class(letters):
+    """Reported from ``one_class_chars`` on; digits are the hex pattern's."""
+    rng = random.Random(3)
+    for _ in range(30):
+        odd = "".join(rng.choice(letters) for _ in range(40))
+        assert [t for t, _ in spans(f"some words here, auth {odd} and more")] == [odd]
+
+
+def test_long_words_are_no_secrets():
+    assert spans("the key misunderstandings and counterrevolutionary internationalization") == []

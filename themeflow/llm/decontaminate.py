@@ -9,8 +9,9 @@ the text. Every result is exact: a pair (document, item) is found if and only
 if some part of the document is within the item's budget.
 
 Texts and items are compared with A-Z lower-cased and white space runs as one
-blank. Items of fewer than ``min_chars`` characters (also null or empty ones)
-say nothing and match nothing; items with equal texts match alike. Items are
+blank. Items of fewer than ``min_chars`` characters have no error budget and
+match whole words only; null and empty ones match nothing; items with equal
+texts match alike. Items are
 sent in blocks of at most ``block_chars``, whatever the size of their table;
 documents are scanned for one block after the other, and never shuffled. A null
 or empty text holds no item. Repeated document rows or ids each give their own
@@ -28,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from themeflow.llm.arrowtext import text_slices, whole_texts
 
@@ -39,7 +41,10 @@ class MatchSettings:
     block_chars: int = 1 << 20
 
     def budget(self, item: str) -> int:
-        return int(self.error_rate * len(item))
+        return int(self.error_rate * len(item)) if len(item) >= self.min_chars else 0
+
+    def is_short(self, item: str) -> bool:
+        return len(item) < self.min_chars
 
 
 def plain(texts: pa.Array) -> list[str]:
@@ -58,7 +63,7 @@ def item_blocks(items: DataFrame, s: MatchSettings, id_col: str, text_col: str)
     block, size = [], 0
     for row in items.select(id_col, text_col).toLocalIterator():
         text = plain(pa.array([row[1]], pa.string()))[0]
-        if len(text) < s.min_chars:
+        if not text:
             continue
         if block and size + len(text) > s.block_chars:
             yield block
@@ -107,6 +112,7 @@ class ItemScanner:
         self.texts = [text for _, text in block]
         self.ids = [item for item, _ in block]
         self.budgets = [s.budget(text) for text in self.texts]
+        self.short = [s.is_short(text) for text in self.texts]
         self.patterns: dict[int, Myers] = {}
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, text in enumerate(self.texts):
@@ -134,6 +140,10 @@ class ItemScanner:
                     own.append([lo, hi])
         for k, own in windows.items():
             budget, item = self.budgets[k], self.texts[k]
+            if self.short[k]:       # found somewhere; as words, too?
+                if f" {item} " in f" {text} ":
+                    yield self.ids[k], 0
+                continue
             if item in text:
                 yield self.ids[k], 0
                 continue
@@ -155,6 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, s: MatchSettings = MatchSet
     own = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, own), T.StructField(item_col, items.schema[item_col].dataType),
                            T.StructField("edits", T.IntegerType())])
+    kind = to_arrow_type(items.schema[item_col].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items, s, item_col, item_text_col):
         def scan(batches, block=block):
@@ -164,7 +175,7 @@ def contamination(docs: DataFrame, items: DataFrame, s: MatchSettings = MatchSet
                         for item, edits in scanner.find(text)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col).take(pa.array([r[0] for r in rows], pa.int64())),
-                     pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32())],
+                     pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.int32())],
                     [id_col, item_col, "edits"])
         out = out.unionByName(docs.select(id_col, text_col).mapInArrow(scan, schema))
     return out
@@ -188,10 +199,11 @@ def brute_force(docs: list[tuple], items: list[tuple], s: MatchSettings = MatchS
     out = []
     for item, text in items:
         p = plain(pa.array([text], pa.string()))[0]
-        if len(p) < s.min_chars:
-            continue
         for doc, body in docs:
             t = plain(pa.array([body], pa.string()))[0]
+            if s.is_short(p):
+                out += [(doc, item, 0)] if p and f" {p} " in f" {t} " else []
+                continue
             row, best = list(range(len(p) + 1)), len(p)
             for c in t:
                 new = [0]

@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and novelty under a primed zstandard dictionary.
 
 The patterns (assign, access, hex) report their spans always. The method adds
-spans of kind novel: a candidate is a run of 16 or more token characters with
-two of the classes lower, upper, digit that follows a sensitive word in its
-context and overlaps no span of the patterns. The context has ``context_chars``
+spans of kind novel: a candidate is a run of 16 or more token characters that
+follows a sensitive word in its context and overlaps no span of the patterns.
+Long words are such runs, too, and up to 64 characters zstandard leaves them as
+dear as random ones; so a run with only one of the classes lower, upper, digit
+needs ``one_class_chars``. The context has ``context_chars``
 characters, also over line ends, and runs on over lines that are one token each
 and, from the label of a PEM block, to the block's end. A word inside a run has
 the rest of the run as a candidate. Its cost is
@@ -71,6 +73,7 @@ class SecretSettings:
     context_chars: int = 48
     around_chars: int = 1024
     window_chars: int = 32
+    one_class_chars: int = 24
 
 
 def pattern_spans(text: str, s: SecretSettings) -> list[tuple[int, int, int]]:
@@ -160,7 +163,9 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], s: SecretSettings)
 
     def judge(run: _Run, a: int):
         b = run.end
-        if b - a < MIN_CANDIDATE or run.reported or not run.two_classes(text, a):
+        if b - a < MIN_CANDIDATE or run.reported:
+            return
+        if b - a < s.one_class_chars and not run.two_classes(text, a):
             return
         before = bisect.bisect_left(begins, b)
         if before and reach[before - 1] > a:
