@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from themeflow.llm.arrowtext import hash_words, mix64, signed, split_words, text_slices
 from themeflow.llm.components import connected_components
-from themeflow.llm.stored import Stored
+from themeflow.llm.stored import Stored, free_shuffles
 
 NULL_ID = -(1 << 63)
 #: Members of a bucket that are looked at together.
@@ -62,6 +62,8 @@ PARTS = 256
 SALTED = 64
 #: One set in so many shows which tokens are common.
 COMMON_SAMPLE = 8
+#: Pairs that are verified at once are at most as many as the sets, or this.
+LEAST_VERIFIED = 1 << 16
 #: Hashes of the two orders that put common tokens last.
 SALTS = (1, 2)
 
@@ -174,7 +176,8 @@ def members(docs: DataFrame, s: JoinSettings) -> DataFrame:
 
 
 def features(docs: DataFrame, s: JoinSettings, common) -> DataFrame:
-    """One row per set: id, size, sketch, prefixes under orders 1 and 2.
+    """One row per set: id, size, sketch, fine sketch (null: no finer than
+    the other), prefixes under orders 1 and 2.
     ``common`` is a broadcast of (sorted tokens, how common)."""
     k, percent = s.k, s.percent
 
@@ -185,7 +188,7 @@ def features(docs: DataFrame, s: JoinSettings, common) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in sets], pa.int64()), pa.array([len(t) for _, t in sets], pa.int32()),
                  pa.array([sketch(t, PARTS) for _, t in sets], pa.binary()),
-                 pa.array([sketch(t, fine_parts(len(t))) for _, t in sets], pa.binary()),
+                 pa.array([sketch(t, p) if (p := fine_parts(len(t))) > PARTS else None for _, t in sets], pa.binary()),
                  *(_longs([prefix(t, percent, z, *table) for _, t in sets]) for z in SALTS)],
                 ["sid", "n", "sketch", "fine", "first1", "first2"])
 
@@ -477,9 +480,11 @@ def _whole_runs(batches):
 
 
 def _likely(pairs: DataFrame, feats: DataFrame, s: JoinSettings) -> DataFrame:
-    """Pairs that the fine sketches allow too."""
+    """Pairs that the fine sketches allow too. Pairs of which one has no finer
+    sketch were judged by the same parts within the bucket."""
     percent = s.percent
-    of = lambda x: feats.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}"))
+    large = feats.filter("fine IS NOT NULL")
+    of = lambda x: large.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}"))
     wide = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b")
 
     def test(batches):
@@ -487,9 +492,9 @@ def _likely(pairs: DataFrame, feats: DataFrame, s: JoinSettings) -> DataFrame:
             gaps = np.fromiter((fine_gap(x.as_py(), y.as_py()) for x, y in
                                 zip(batch.column("f_a"), batch.column("f_b"))), np.int64, batch.num_rows)
             total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(_allowed(gaps, total, percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(~_allowed(gaps, total, percent)))
 
-    return wide.mapInArrow(test, "a long, b long")
+    return pairs.join(wide.mapInArrow(test, "a long, b long"), ["a", "b"], "left_anti")
 
 
 def _whole_sets(docs: DataFrame, owners: DataFrame, pairs: DataFrame, s: JoinSettings) -> DataFrame:
@@ -575,13 +580,21 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
     none = spark.createDataFrame([], "node long, component long")
     links, found = spark.createDataFrame([], "a long, b long"), none
 
+    at_once = max(LEAST_VERIFIED, feats.read().count())
+
     def join(listed: DataFrame):
-        """Test the pairs; their links join components."""
+        """Test the pairs; their links join components. Whole sets travel with
+        each pair, so many pairs are verified in turns that need no more disk
+        than the sets themselves would."""
         nonlocal links, found
         tries = Stored(listed, "join-tries")
         pairs = Stored(_likely(tries.read(), feats.read(), s), "join-pairs")
         sets = Stored(_whole_sets(docs, owners, pairs.read(), s), "join-sets")
-        new = Stored(_links(pairs.read(), sets.read(), s, common), "join-links").read()
+        turns, new = max(1, -(-pairs.read().count() // at_once)), none.toDF("a", "b")
+        for turn in range(turns):
+            of = F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn
+            new = new.unionByName(Stored(_links(pairs.read().filter(of), sets.read(), s, common), "join-links").read())
+            free_shuffles(spark)
         for done in (tries, pairs, sets):
             done.drop()
         if new.limit(1).count():

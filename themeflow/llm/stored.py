@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone: it learns
+    of them from the driver's garbage collection, which else may not come for
+    half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Stored:
     """A frame written as Parquet once and read from there ever after.
 
@@ -32,6 +41,7 @@ class Stored:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        free_shuffles(self.spark)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
