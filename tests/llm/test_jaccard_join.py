@@ -171,3 +171,10 @@ def test_rows_without_copies_stay_whatever_their_ids(spark):
 def test_a_null_id_is_the_smallest_of_its_group(spark):
     rows = [(5, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")]
     assert [tuple(r) for r in J.one_of_each(docs(spark, rows)).collect()] == [(None, "a b c d e f")]
+
+
+def test_rounds_of_best_pairs_and_turns_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(J, "LEAST_VERIFIED", 500)
+    rows = list(enumerate(near_copies(80, 21) + near_copies(30, 22, 150)))
+    got = J.similar_documents(docs(spark, rows), J.JoinSettings(k=5, percent=80, best_rounds=2))
+    assert sorted_rows(got) == sorted(J.brute_force(rows, 5, 80), key=str)

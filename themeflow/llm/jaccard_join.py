@@ -24,7 +24,9 @@ Within the bucket of a prefix token no pairs of similar sets are listed: a hub
 is tried with the rest, and links found
 join components. What remains is exact: members of one bucket whose sizes and
 sketches fit and whose components still differ are tried one with another, so
-no link between components is missed. Members of the component that most of a
+no link between components is missed. (``best_rounds`` before that try each
+member with the likeliest of each other component only, which joins most, so
+that few pairs are left.) Members of the component that most of a
 bucket belongs to are tried with the others only, never among themselves. A
 bucket of more than ``run_limit`` members is dealt out: hub rounds go on over
 salted parts of it, one hub for a member, as long as they join the most of it;
@@ -62,8 +64,8 @@ PARTS = 256
 SALTED = 64
 #: One set in so many shows which tokens are common.
 COMMON_SAMPLE = 8
-#: Pairs that are verified at once are at most as many as the sets, or this.
-LEAST_VERIFIED = 1 << 16
+#: Tokens that travel with the pairs verified at once: half of all sets', or this.
+LEAST_VERIFIED = 1 << 22
 #: Hashes of the two orders that put common tokens last.
 SALTS = (1, 2)
 
@@ -75,6 +77,7 @@ class JoinSettings:
     common_tokens: int = 1 << 20
     common_from: int = 2
     hub_rounds: int = 1
+    best_rounds: int = 0
     broadcast_ids: int = 1 << 18
     run_limit: int = 1 << 14
 
@@ -283,13 +286,20 @@ def _sized(t: dict) -> np.ndarray:
     return run.astype(np.int64) << 32
 
 
-def _tries(t: dict, i: np.ndarray, j: np.ndarray, percent: int) -> pa.RecordBatch:
-    """Pairs of different components whose sketches allow the index."""
+def _tries(t: dict, i: np.ndarray, j: np.ndarray, percent: int, best: bool = False) -> pa.RecordBatch:
+    """Pairs of different components whose sketches allow the index; with
+    ``best`` only the likeliest for each member and other component."""
     apart = t["comp"][i] != t["comp"][j]
     i, j = i[apart], j[apart]
     gap = np.abs(t["sketch"][i].astype(np.int16) - t["sketch"][j]).sum(axis=1, dtype=np.int64)
     total = t["n"][i].astype(np.int64) + t["n"][j]
-    ok = _allowed(gap, total, percent)
+    ok = np.flatnonzero(_allowed(gap, total, percent))
+    if best and len(ok):
+        # the share of the two that may differ, in millionths
+        share, a, b = gap[ok] * 1_000_000 // total[ok], i[ok], t["comp"][j[ok]]
+        order = np.lexsort((share, b, a))
+        a, b = a[order], b[order]
+        ok = ok[order][np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]]
     return _pairs(t["sid"][i[ok]], t["sid"][j[ok]])
 
 
@@ -313,7 +323,7 @@ def _hub_pairs(t: dict, salt: int, percent: int):
         yield _tries(t, hub[i], j, percent)
 
 
-def _cross_pairs(t: dict, percent: int):
+def _cross_pairs(t: dict, percent: int, best: bool = False):
     """All members of a run that fit and lie in different components: those
     outside the run's main component with the members behind them, and with
     those of the main component ahead of them."""
@@ -331,10 +341,10 @@ def _cross_pairs(t: dict, percent: int):
     out, main = np.flatnonzero(~is_main), np.flatnonzero(is_main)
     until = np.searchsorted(place, line[out] + 100 * n[out] // percent, "right")
     for i, j in _partners(out + 1, until):
-        yield _tries(t, out[i], j, percent)
+        yield _tries(t, out[i], j, percent, best)
     first = np.searchsorted(place[main], line[out] - (-percent * n[out] // 100), "left")
     for i, j in _partners(first, np.searchsorted(main, out)):
-        yield _tries(t, out[i], main[j], percent)
+        yield _tries(t, out[i], main[j], percent, best)
 
 
 def _piece_pairs(t: dict, percent: int):
@@ -362,13 +372,15 @@ def _placed(rows: DataFrame, components: DataFrame) -> DataFrame:
             .withColumn("comp", F.coalesce("component", "sid")).drop("component"))
 
 
-def candidate_pairs(rows: DataFrame, components: DataFrame, s: JoinSettings, salt: int | None) -> DataFrame:
-    """Pairs to try: of hubs (with ``salt``) or all that are left."""
+def candidate_pairs(rows: DataFrame, components: DataFrame, s: JoinSettings, salt: int | None,
+                    best: bool = False) -> DataFrame:
+    """Pairs to try: of hubs (with ``salt``) or all that are left, or of these
+    the best of each member."""
     percent = s.percent
 
     def tries(batches):
         for t in _whole_runs(batches):
-            yield from _hub_pairs(t, salt, percent) if salt is not None else _cross_pairs(t, percent)
+            yield from _hub_pairs(t, salt, percent) if salt is not None else _cross_pairs(t, percent, best)
 
     return _sorted_buckets(_placed(rows, components)).mapInArrow(tries, "a long, b long").distinct()
 
@@ -580,7 +592,8 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
     none = spark.createDataFrame([], "node long, component long")
     links, found = spark.createDataFrame([], "a long, b long"), none
 
-    at_once = max(LEAST_VERIFIED, feats.read().count())
+    sizes = feats.read().select("sid", "n")
+    at_once = max(LEAST_VERIFIED, (sizes.agg(F.sum("n")).first()[0] or 0) // 2)
 
     def join(listed: DataFrame):
         """Test the pairs; their links join components. Whole sets travel with
@@ -590,7 +603,8 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
         tries = Stored(listed, "join-tries")
         pairs = Stored(_likely(tries.read(), feats.read(), s), "join-pairs")
         sets = Stored(_whole_sets(docs, owners, pairs.read(), s), "join-sets")
-        turns, new = max(1, -(-pairs.read().count() // at_once)), none.toDF("a", "b")
+        moved = pairs.read().join(sizes.withColumnRenamed("sid", "a"), "a").agg(F.sum("n")).first()[0] or 0
+        turns, new = max(1, -(-moved // at_once)), none.toDF("a", "b")
         for turn in range(turns):
             of = F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn
             new = new.unionByName(Stored(_links(pairs.read().filter(of), sets.read(), s, common), "join-links").read())
@@ -617,6 +631,8 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
             join(long_hub_pairs(own_rows, shares, s, salt))
     for salt in range(1, s.hub_rounds + 1):
         join(candidate_pairs(light, found, s, salt))
+    for _ in range(s.best_rounds):
+        join(candidate_pairs(light, found, s, None, best=True))
     last = candidate_pairs(light, found, s, None)
     if long is not None:
         own_rows, shares, _ = placed_long()
