@@ -32,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, index 0.8), the smallest document stays."""
-    return one_of_each(docs, JoinSettings(k=5, percent=80, hub_rounds=2))
+    return one_of_each(docs, JoinSettings(k=5, percent=80, best_rounds=1))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
