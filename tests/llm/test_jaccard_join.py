@@ -70,6 +70,7 @@ def test_sketches_never_exceed_the_difference():
         apart = len(np.setxor1d(a, b))
         assert J.fine_gap(J.sketch(a, J.fine_parts(len(a))), J.sketch(b, J.fine_parts(len(b)))) <= apart
         assert J.fine_gap(J.sketch(a, J.PARTS), J.sketch(b, J.PARTS)) <= apart
+        assert J.fine_gap(J.sketch(a, J.dense_parts(len(a))), J.sketch(b, J.dense_parts(len(b)))) <= apart
 
 
 def test_runs_longer_than_a_piece(spark, monkeypatch):

@@ -17,8 +17,9 @@ Equal sets are one row from the start, under a 64-bit set id. Rows of order 2
 carry a sketch: how many tokens fall in each of 256 parts of the hash space. The
 differences of two sketches add up to no more than the sets' symmetric
 difference, so most members of a bucket that only share a passage are told
-apart within the bucket, exactly; a finer sketch, with parts in proportion to
-the set, does the same for the pairs that are left.
+apart within the bucket, exactly; a fine sketch (a part for 16 to 32 tokens) and
+then a dense one (for 1 or 2) do the same for the pairs that are left, so that
+whole sets, 25 times as large, travel with few pairs but links.
 
 Within the bucket of a prefix token no pairs of similar sets are listed: a hub
 is tried with the rest, and links found
@@ -48,6 +49,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,9 +143,20 @@ def fine_parts(n: int) -> int:
     return max(PARTS, 1 << (n // 32).bit_length())
 
 
+def dense_parts(n: int) -> int:
+    """Parts of the dense sketch of a set: 1 or 2 tokens in each, so that few
+    differences hide."""
+    return max(PARTS, 1 << n.bit_length() - 1)
+
+
+def _sketch_if_finer(tokens: np.ndarray, parts: int) -> bytes | None:
+    """Parts of mostly few tokens take about 2 bits each when compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(sketch(tokens, parts)) if parts > PARTS else None
+
+
 def fine_gap(a: bytes, b: bytes) -> int:
-    """What two fine sketches say at least of the symmetric difference; the
-    finer one is folded to the parts of the other."""
+    """What two fine or dense sketches say at least of the symmetric
+    difference; the finer one is folded to the parts of the other."""
     x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
     if len(x) > len(y):
         x, y = y, x
@@ -179,8 +192,8 @@ def members(docs: DataFrame, s: JoinSettings) -> DataFrame:
 
 
 def features(docs: DataFrame, s: JoinSettings, common) -> DataFrame:
-    """One row per set: id, size, sketch, fine sketch (null: no finer than
-    the other), prefixes under orders 1 and 2.
+    """One row per set: id, size, sketch, fine and dense sketch (null: no finer
+    than the first), prefixes under orders 1 and 2.
     ``common`` is a broadcast of (sorted tokens, how common)."""
     k, percent = s.k, s.percent
 
@@ -191,12 +204,14 @@ def features(docs: DataFrame, s: JoinSettings, common) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in sets], pa.int64()), pa.array([len(t) for _, t in sets], pa.int32()),
                  pa.array([sketch(t, PARTS) for _, t in sets], pa.binary()),
-                 pa.array([sketch(t, p) if (p := fine_parts(len(t))) > PARTS else None for _, t in sets], pa.binary()),
+                 *(pa.array([_sketch_if_finer(t, parts(len(t))) for _, t in sets], pa.binary())
+                   for parts in (fine_parts, dense_parts)),
                  *(_longs([prefix(t, percent, z, *table) for _, t in sets]) for z in SALTS)],
-                ["sid", "n", "sketch", "fine", "first1", "first2"])
+                ["sid", "n", "sketch", "fine", "dense", "first1", "first2"])
 
     return docs.select("text").mapInArrow(
-        rows, "sid long, n int, sketch binary, fine binary, first1 array<long>, first2 array<long>").dropDuplicates(["sid"])
+        rows, "sid long, n int, sketch binary, fine binary, dense binary, first1 array<long>, "
+              "first2 array<long>").dropDuplicates(["sid"])
 
 
 def _values(column: pa.Array) -> np.ndarray:
@@ -491,17 +506,18 @@ def _whole_runs(batches):
         yield held
 
 
-def _likely(pairs: DataFrame, feats: DataFrame, s: JoinSettings) -> DataFrame:
-    """Pairs that the fine sketches allow too. Pairs of which one has no finer
-    sketch were judged by the same parts within the bucket."""
+def _likely(pairs: DataFrame, feats: DataFrame, s: JoinSettings, column: str) -> DataFrame:
+    """Pairs that the sketches in ``column`` allow too. Pairs of which one has
+    no finer sketch were judged by the same parts within the bucket."""
     percent = s.percent
-    large = feats.filter("fine IS NOT NULL")
-    of = lambda x: large.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}"))
+    large = feats.filter(F.col(column).isNotNull())
+    of = lambda x: large.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col(column).alias(f"f_{x}"))
     wide = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b")
 
     def test(batches):
+        plain = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            gaps = np.fromiter((fine_gap(x.as_py(), y.as_py()) for x, y in
+            gaps = np.fromiter((fine_gap(plain(x.as_py()), plain(y.as_py())) for x, y in
                                 zip(batch.column("f_a"), batch.column("f_b"))), np.int64, batch.num_rows)
             total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
             yield batch.select(["a", "b"]).filter(pa.array(~_allowed(gaps, total, percent)))
@@ -601,7 +617,8 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
         than the sets themselves would."""
         nonlocal links, found
         tries = Stored(listed, "join-tries")
-        pairs = Stored(_likely(tries.read(), feats.read(), s), "join-pairs")
+        allowed = Stored(_likely(tries.read(), feats.read(), s, "fine"), "join-allowed")
+        pairs = Stored(_likely(allowed.read(), feats.read(), s, "dense"), "join-pairs")
         sets = Stored(_whole_sets(docs, owners, pairs.read(), s), "join-sets")
         moved = pairs.read().join(sizes.withColumnRenamed("sid", "a"), "a").agg(F.sum("n")).first()[0] or 0
         turns, new = max(1, -(-moved // at_once)), none.toDF("a", "b")
@@ -609,7 +626,7 @@ def set_components(docs: DataFrame, s: JoinSettings = JoinSettings(), id_col: st
             of = F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn
             new = new.unionByName(Stored(_links(pairs.read().filter(of), sets.read(), s, common), "join-links").read())
             free_shuffles(spark)
-        for done in (tries, pairs, sets):
+        for done in (tries, allowed, pairs, sets):
             done.drop()
         if new.limit(1).count():
             links = links.unionByName(new)
