@@ -52,12 +52,19 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndar
     return flat.filter(real), np.diff(at)
 
 
-def hash_words(words: pa.Array) -> np.ndarray:
-    """64-bit hash of each word; equal in every process."""
+def word_table(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the distinct words (equal in every process), and the
+    place of each word among them."""
     coded = words.dictionary_encode()
     digest = xxhash.xxh3_64_intdigest
     table = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return table[coded.indices.to_numpy()] if len(table) else np.empty(0, np.uint64)
+    return table, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each word; equal in every process."""
+    table, places = word_table(words)
+    return table[places] if len(table) else np.empty(0, np.uint64)
 
 
 def word_ids(words: pa.Array) -> np.ndarray:

@@ -14,7 +14,8 @@ bigrams once, in one sorted and compressed block per bucket of the hash space;
 the bucket adds up all blocks and answers each with the totals. So no row per
 token is shuffled, a very common word is one number per chunk, and a task holds
 one chunk or one bucket (``bucket_keys`` keys or so), whatever the corpus. The
-chunks are stored once, coded by their own vocabularies.
+chunks are stored once, coded by their own vocabularies; weights and scores are
+worked out per distinct bigram of a chunk.
 
 Order 2 was chosen because nearly every trigram here is new: a third exchange
 would move more than the text itself.
@@ -38,9 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from themeflow.llm.arrowtext import hash_words, mix64, split_words, text_slices
+from themeflow.llm.arrowtext import mix64, split_words, text_slices, word_table
 from themeflow.llm.packed import bucket_of, cut_points, pack, record_batch, unpack
-from themeflow.llm.stored import Stored
+from themeflow.llm.stored import Stored, free_shuffles
 
 #: White space is no word, so no word has these hashes but by accident.
 END = np.uint64(xxhash.xxh3_64_intdigest(" end"))
@@ -57,39 +58,43 @@ class LmSettings:
     log_step: float = 0.25
 
 
-@dataclass
-class Chunk:
-    """Some texts as numbers: each text's length, the distinct tokens'
-    hashes, and every token's place among them."""
-    lens: np.ndarray
-    vocab: np.ndarray
-    ids: np.ndarray
-
-    @classmethod
-    def of(cls, texts: pa.Array) -> "Chunk":
-        words, counts = split_words(texts, lower=True)
-        lens = counts.astype(np.int64) + 1
-        tokens = np.full(int(lens.sum()), END, np.uint64)
-        is_word = np.ones(len(tokens), bool)
-        is_word[np.cumsum(lens) - 1] = False
-        tokens[is_word] = hash_words(words)
-        vocab, ids = np.unique(tokens, return_inverse=True)
-        return cls(lens, vocab, ids)
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(sorted keys, context and word places of each, key of each token);
-        the place after the vocabulary is the start of a text."""
-        n = len(self.vocab)
-        context = np.r_[n, self.ids[:-1]]
-        context[np.r_[0, np.cumsum(self.lens)[:-1]]] = n
-        pair, at = np.unique(context * n + self.ids, return_inverse=True)
-        first, second = pair // n, pair % n
-        hashes = np.r_[self.vocab, START]
-        keys = mix64(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second])
-        order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return keys[order], first[order], second[order], place[at]
+def code_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some texts as numbers: each text's length, the distinct tokens' hashes,
+    the most frequent first (small numbers pack best), and every token's place
+    among them."""
+    words, counts = split_words(texts, lower=True)
+    lens = counts.astype(np.int64) + 1
+    hashes, places = word_table(words)
+    vocab, rank = np.unique(np.r_[hashes, END], return_inverse=True)
+    ids = np.full(int(lens.sum()), rank[-1], np.int64)
+    is_word = np.ones(len(ids), bool)
+    is_word[np.cumsum(lens) - 1] = False
+    ids[is_word] = rank[places]
+    order = np.argsort(-np.bincount(ids), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return lens, vocab[order], place[ids]
+
+
+def bigrams(lens: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct bigrams of a chunk as places of context and word in its
+    vocabulary of ``n`` (place n is the start of a text), in that order, and
+    every token's place among them."""
+    context = np.r_[n, ids[:-1]].astype(np.int64)
+    context[np.r_[0, np.cumsum(lens)[:-1]]] = n
+    pair, at = np.unique(context * n + ids, return_inverse=True)
+    return pair // n, pair % n, at
+
+
+def bigram_keys(vocab: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bigrams' hashes in order, and whose they are."""
+    hashes = np.r_[vocab, START]
+    keys = mix64(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + hashes[second])
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+_WIDTH = {"lens": np.int64, "vocab": np.uint64, "ids": np.uint32}
 
 
 def _chunks(docs: DataFrame, s: LmSettings) -> DataFrame:
@@ -98,25 +103,26 @@ def _chunks(docs: DataFrame, s: LmSettings) -> DataFrame:
     def code(batches):
         task, k = TaskContext.get().partitionId(), 0
         for part in text_slices(batches, limit=size):
-            c = Chunk.of(part.column("text"))
+            coded = code_texts(part.column("text"))
             yield pa.RecordBatch.from_pydict({
                 "chunk": pa.array([(task << 32) + k], pa.int64()),
                 "doc_ids": pa.array([part.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 "held": pa.array([part.column("held").to_pylist()], pa.list_(pa.bool_())),
-                "lens": pa.array([pack(c.lens)], pa.binary()), "vocab": pa.array([pack(c.vocab)], pa.binary()),
-                "ids": pa.array([pack(c.ids.astype(np.uint32))], pa.binary()),
-                "n_tokens": pa.array([len(c.ids)], pa.int64())})
+                **{name: pa.array([pack(x.astype(kind))], pa.binary()) for x, (name, kind) in zip(coded, _WIDTH.items())},
+                "n_tokens": pa.array([len(coded[2])], pa.int64())})
             k += 1
 
     return docs.mapInArrow(code, "chunk long, doc_ids array<long>, held array<boolean>, lens binary, vocab binary, "
                                  "ids binary, n_tokens long")
 
 
-def _chunk_of(row: dict) -> tuple[Chunk, np.ndarray]:
-    """(chunk, for each token whether its text trains)."""
-    c = Chunk(unpack(row["lens"], np.int64), unpack(row["vocab"], np.uint64),
-              unpack(row["ids"], np.uint32).astype(np.int64))
-    return c, np.repeat(~np.array(row["held"], bool), c.lens)
+def _numbers(row: dict, *names: str) -> list[np.ndarray]:
+    return [unpack(row[name], _WIDTH[name]) for name in names]
+
+
+def _training_counts(row: dict, lens: np.ndarray, at: np.ndarray, n_keys: int) -> np.ndarray:
+    """How often each key of a chunk occurs in the texts that train."""
+    return np.bincount(at[np.repeat(~np.array(row["held"], bool), lens)], minlength=n_keys)
 
 
 _ASK = "bucket long, chunk long, kind int, keys binary, counts binary"
@@ -130,10 +136,14 @@ def _totals(chunks: DataFrame, buckets: int, s: LmSettings) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                c, trains = _chunk_of(row)
-                keys, _, _, at = c.bigrams()
-                for kind, k, place in ((1, c.vocab, c.ids), (2, keys, at)):
-                    counts = np.bincount(place[trains], minlength=len(k)).astype(np.uint32)
+                lens, vocab, ids = _numbers(row, *_WIDTH)
+                first, second, at = bigrams(lens, ids, len(vocab))
+                keys, order = bigram_keys(vocab, first, second)
+                by_hash = np.argsort(vocab)
+                words = _training_counts(row, lens, ids, len(vocab))[by_hash]
+                pairs = _training_counts(row, lens, at, len(keys))[order]
+                for kind, k, counts in ((1, vocab[by_hash], words), (2, keys, pairs)):
+                    counts = counts.astype(np.uint32)
                     home = bucket_of(k, buckets)
                     rows = [(int(home[a]), row["chunk"], kind, pack(k[a:b]), pack(counts[a:b]))
                             for a, b in cut_points(home)]
@@ -157,38 +167,35 @@ def _totals(chunks: DataFrame, buckets: int, s: LmSettings) -> DataFrame:
                 lo += len(block)
         return pa.Table.from_batches([record_batch(out, _ANSWER)])
 
-    asked = chunks.select("chunk", "held", "lens", "vocab", "ids").mapInArrow(ask, _ASK)
+    asked = chunks.select("chunk", "held", *_WIDTH).mapInArrow(ask, _ASK)
     return asked.groupBy("bucket").applyInArrow(answer, _ANSWER)
 
 
-_RESOLVED = ("doc_ids array<long>, held array<boolean>, lens binary, at binary, pair binary, context binary, "
-             "word binary, weight binary")
+_RESOLVED = "doc_ids array<long>, held array<boolean>, lens binary, ids binary, pair binary, word binary"
 
 
 def _resolve(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """Chunks whose tokens point to distinct triples of counts (of the
-    bigram, its context, its word), with each triple's training weight."""
+    """Chunks with the totals of their bigrams (``pair``) and of their tokens
+    (``word``, that of a text's start last). What a chunk knew already travels
+    on as it was packed."""
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        c, trains = _chunk_of(row)
+        lens, vocab, ids = _numbers(row, *_WIDTH)
+        first, second, _ = bigrams(lens, ids, len(vocab))
         of = {1: [], 2: []}
         for r in sorted(right.select(["kind", "bucket", "totals"]).to_pylist(), key=lambda r: r["bucket"]):
             of[r["kind"]].append(unpack(r["totals"], np.int64))
-        word, pair = (np.concatenate(of[k]) for k in (1, 2))
-        _, first, second, at = c.bigrams()
-        context = np.r_[word, word[np.searchsorted(c.vocab, END)]]
-        triples = np.stack([pair, context[first], word[second]], axis=1)
-        triples, of_pair = np.unique(triples, axis=0, return_inverse=True)
-        at = of_pair.ravel()[at]
-        weight = np.bincount(at[trains], minlength=len(triples)).astype(np.int64)
+        word, pair = (np.empty(len(x), np.int64) for x in (vocab, first))
+        word[np.argsort(vocab)] = np.concatenate(of[1])
+        pair[bigram_keys(vocab, first, second)[1]] = np.concatenate(of[2])
+        word = np.r_[word, word[vocab == END]]
         return pa.table({
             "doc_ids": pa.array([row["doc_ids"]], pa.list_(pa.int64())),
-            "held": pa.array([row["held"]], pa.list_(pa.bool_())), "lens": pa.array([row["lens"]], pa.binary()),
-            "at": pa.array([pack(at.astype(np.uint32))], pa.binary()),
-            **{name: pa.array([pack(np.ascontiguousarray(v))], pa.binary()) for name, v in (
-                ("pair", triples[:, 0]), ("context", triples[:, 1]), ("word", triples[:, 2]), ("weight", weight))}})
+            "held": pa.array([row["held"]], pa.list_(pa.bool_())),
+            "lens": pa.array([row["lens"]], pa.binary()), "ids": pa.array([row["ids"]], pa.binary()),
+            "pair": pa.array([pack(pair)], pa.binary()), "word": pa.array([pack(word)], pa.binary())})
 
-    left = chunks.select("chunk", "doc_ids", "held", "lens", "vocab", "ids")
+    left = chunks.select("chunk", "doc_ids", "held", *_WIDTH)
     right = answers.filter("chunk is not null").select("chunk", "kind", "bucket", "totals")
     return left.groupBy("chunk").cogroup(right.groupBy("chunk")).applyInArrow(join, _RESOLVED)
 
@@ -206,20 +213,26 @@ def _histogram(resolved: DataFrame, n: int, v: int, s: LmSettings) -> DataFrame:
     def cells(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                pair, context, word, weight = (unpack(row[c], np.int64) for c in ("pair", "context", "word", "weight"))
+                lens, ids = _numbers(row, "lens", "ids")
+                pair, total = unpack(row["pair"], np.int64), unpack(row["word"], np.int64)
+                first, second, at = bigrams(lens, ids, len(total) - 1)
+                weight = _training_counts(row, lens, at, len(pair))
                 seen = weight > 0
-                pair, context, word, weight = (x[seen] for x in (pair, context, word, weight))
-                if not len(pair):
+                if not seen.any():
                     continue
-                two = (pair - 1) / np.maximum(context - 1, 1)
-                one = (word - 1) / max(n - 1, 1)
-                key = np.stack([context_bucket(context - 1), _steps(two, v, step), _steps(one, v, step)], axis=1)
-                key, at = np.unique(key, axis=0, return_inverse=True)
-                total = np.bincount(at.ravel(), weights=weight)
-                yield record_batch([(*map(int, k), float(t)) for k, t in zip(key, total)],
-                             "bucket int, two int, one int, weight double")
-
-    return (resolved.select("pair", "context", "word", "weight")
+                pair, context, word, weight = pair[seen], total[first[seen]], total[second[seen]], weight[seen]
+                two = _steps((pair - 1) / np.maximum(context - 1, 1), v, step)
+                one = _steps((total - 1) / max(n - 1, 1), v, step)[second[seen]]
+                key = (context_bucket(context - 1) * _WIDE + two + _WIDE // 2) * _WIDE + one + _WIDE // 2
+                key, cell = np.unique(key, return_inverse=True)
+                mass = np.bincount(cell, weights=weight)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((key // _WIDE ** 2).astype(np.int32)),
+                     pa.array((key // _WIDE % _WIDE - _WIDE // 2).astype(np.int32)),
+                     pa.array((key % _WIDE - _WIDE // 2).astype(np.int32)), pa.array(mass)],
+                    ["bucket", "two", "one", "weight"])
+
+    return (resolved.select("held", "lens", "ids", "pair", "word")
             .mapInArrow(cells, "bucket int, two int, one int, weight double")
             .groupBy("bucket", "two", "one").agg(F.sum("weight").alias("weight")))
 
@@ -230,6 +243,8 @@ def _steps(p: np.ndarray, v: int, step: float) -> np.ndarray:
 
 
 _ZERO = -1_000_000
+#: Steps are numbers between -_WIDE / 2 and _WIDE / 2.
+_WIDE = 1 << 22
 
 
 def learn_weights(cells: pa.Table, s: LmSettings) -> np.ndarray:
@@ -269,6 +284,7 @@ def score_documents(docs: DataFrame, s: LmSettings = LmSettings(), id_col: str =
     tokens = chunks.read().agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, -(-tokens // s.bucket_keys))
     answers = Stored(_totals(chunks.read(), buckets, s), "lm-totals")
+    free_shuffles(docs.sparkSession)
     known = answers.read().filter("chunk is null and kind = 1").agg(F.sum("n_distinct"), F.sum("n_total")).first()
     v, n = int(known[0] or 0), int(known[1] or 0)
     resolved = Stored(_resolve(chunks.read(), answers.read()), "lm-resolved")
@@ -279,19 +295,21 @@ def score_documents(docs: DataFrame, s: LmSettings = LmSettings(), id_col: str =
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                lens, at = unpack(row["lens"], np.int64), unpack(row["at"], np.uint32)
-                pair, context, word = (unpack(row[c], np.int64) for c in ("pair", "context", "word"))
-                own = weights[context_bucket(context)]
-                p = (own[:, 2] * pair / np.maximum(context, 1) + own[:, 1] * word / max(n, 1) + own[:, 0] / (v + 1))
+                lens, ids = _numbers(row, "lens", "ids")
+                pair, word = unpack(row["pair"], np.int64), unpack(row["word"], np.int64)
+                first, second, at = bigrams(lens, ids, len(word) - 1)
+                own = weights[context_bucket(word)]
+                p = (own[first, 2] * pair / np.maximum(word, 1)[first] + own[first, 1] * (word / max(n, 1))[second]
+                     + own[first, 0] / (v + 1))
                 starts = np.cumsum(lens) - lens
                 total = lambda x: np.add.reduceat(x[at], starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lens),
-                     pa.array(total((word > 0).astype(np.int64))), pa.array(np.full(len(lens), n, np.int64)),
-                     pa.array(total(np.log10((word + 1) / (n + v + 1)))), pa.array(total(np.log10(p)))],
+                     pa.array(total((word > 0).astype(np.int64)[second])), pa.array(np.full(len(lens), n, np.int64)),
+                     pa.array(total(np.log10((word + 1) / (n + v + 1))[second])), pa.array(total(np.log10(p)))],
                     [f.split()[0] for f in _SCORES.split(", ")])
 
-    return resolved.read().select("doc_ids", "held", "lens", "at", "pair", "context", "word").mapInArrow(score, _SCORES)
+    return resolved.read().select("doc_ids", "held", "lens", "ids", "pair", "word").mapInArrow(score, _SCORES)
 
 
 def brute_force(rows: list[tuple[int, str | None]], s: LmSettings = LmSettings()) -> list[tuple]:
