@@ -125,6 +125,7 @@ def _training_counts(row: dict, lens: np.ndarray, at: np.ndarray, n_keys: int) -
     return np.bincount(at[np.repeat(~np.array(row["held"], bool), lens)], minlength=n_keys)
 
 
+#: Keys are sorted and travel as steps from one to the next, which pack better.
 _ASK = "bucket long, chunk long, kind int, keys binary, counts binary"
 _ANSWER = "bucket long, chunk long, kind int, totals binary, n_distinct long, n_total long"
 
@@ -145,7 +146,7 @@ def _totals(chunks: DataFrame, buckets: int, s: LmSettings) -> DataFrame:
                 for kind, k, counts in ((1, vocab[by_hash], words), (2, keys, pairs)):
                     counts = counts.astype(np.uint32)
                     home = bucket_of(k, buckets)
-                    rows = [(int(home[a]), row["chunk"], kind, pack(k[a:b]), pack(counts[a:b]))
+                    rows = [(int(home[a]), row["chunk"], kind, pack(np.diff(k[a:b], prepend=np.uint64(0))), pack(counts[a:b]))
                             for a, b in cut_points(home)]
                     yield record_batch(rows, _ASK)
 
@@ -156,7 +157,7 @@ def _totals(chunks: DataFrame, buckets: int, s: LmSettings) -> DataFrame:
             own = t.filter(pa.array(kinds == kind)).to_pylist()
             if not own:
                 continue
-            blocks = [unpack(r["keys"], np.uint64) for r in own]
+            blocks = [np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64) for r in own]
             _, at = np.unique(np.concatenate(blocks), return_inverse=True)
             counts = np.concatenate([unpack(r["counts"], np.uint32) for r in own])
             total = np.bincount(at, weights=counts).astype(np.int64)
