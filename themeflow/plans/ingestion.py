@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from themeflow import schemas as S
 from themeflow.operators import filters as FL
 from themeflow.operators import ingest as IN
+from themeflow.operators.text_index import TextIndex
 from themeflow.plans import sql as Q
 from themeflow.plans.registry import query
 from themeflow.session import checkpoint_dir
@@ -149,6 +150,16 @@ def q_search_expression(spark, sf):
         "id", "title")
 
 
+@query("search_posts_by_postings", Q.with_(CANDS) + """SELECT id, title FROM cands WHERE
+  (contains(lower(concat_ws(' ', title, selftext)), 'eau la') OR contains(lower(concat_ws(' ', title, selftext)), 'mente'))
+  AND NOT contains(lower(concat_ws(' ', title, selftext)), 'vi')""")
+def q_search_postings(spark, sf):
+    """The same kind of search over stored texts and their trigrams."""
+    index = TextIndex(spark, f"{checkpoint_dir(spark).rstrip('/')}/tables/postings-{uuid.uuid4().hex}")
+    index.add(B.conversation_candidates(spark, sf))
+    return index.search('("eau la" OR Mente) NOT vi').select("id", "title")
+
+
 AS_OF = 902_000_000.0  # 1998-07-31, inside the order date range
 
 

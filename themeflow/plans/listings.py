@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from themeflow.operators import browse as BR
+from themeflow.operators.stored_listing import StoredListing
 from themeflow.plans import sql as Q
 from themeflow.plans.registry import query
+from themeflow.session import checkpoint_dir
 from themeflow.sources import bindings as B
 
 SELECTION = "5, 12-15, 20 40-35 1-2-3 -5 x"
@@ -54,3 +58,24 @@ def q_listing_unthemed(spark, sf):
     + "SELECT * FROM lst")
 def q_listing_theme(spark, sf):
     return BR.listing(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), "comment", theme="blue rod")
+
+
+def _stored(spark, sf) -> StoredListing:
+    out = StoredListing(spark, f"{checkpoint_dir(spark).rstrip('/')}/tables/listing-{uuid.uuid4().hex}")
+    out.store(B.thread_comments(spark, sf), B.thread_annotations(spark, sf), "comment")
+    return out
+
+
+@query("stored_listing_page", _listing_sql("comments", "body", "i.status = 'processed'")
+       + """SELECT lst.* FROM lst, (SELECT least(200, greatest(1, ceil(count(*) / 25.0))) AS p FROM lst)
+WHERE row_index BETWEEN (p - 1) * 25 + 1 AND p * 25""")
+def q_stored_page(spark, sf):
+    """A late page of a listing that is kept in its order."""
+    return _stored(spark, sf).page(200, 25, status="Processed")[0]
+
+
+@query("stored_listing_selection_of_theme", _listing_sql(
+    "comments", "body", "i.id IN (SELECT item_id FROM annotations WHERE consolidated_tag = 'blue rod')")
+    + "SELECT * FROM lst WHERE row_index IN (5, 12, 13, 14, 15, 20) OR row_index BETWEEN 35 AND 40")
+def q_stored_selection(spark, sf):
+    return _stored(spark, sf).selection(SELECTION, theme="blue rod")
