@@ -26,7 +26,7 @@ def frames(spark):
 
 @pytest.fixture(scope="module")
 def stored(spark, frames, tmp_path_factory):
-    out = StoredListing(spark, str(tmp_path_factory.mktemp("listing")))
+    out = StoredListing(spark, str(tmp_path_factory.mktemp("a listing")))
     out.store(*frames, "comment", rows_per_file=20, partitions=6)
     return out
 

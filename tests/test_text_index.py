@@ -22,7 +22,7 @@ EXTRA = [("x1", "", ""), ("x2", None, None), ("x3", "Zürich ÉTÉ", "naïve 
 
 @pytest.fixture(scope="module")
 def index(spark, tmp_path_factory):
-    out = TextIndex(spark, str(tmp_path_factory.mktemp("idx")), rows_per_file=10)
+    out = TextIndex(spark, str(tmp_path_factory.mktemp("an index")), rows_per_file=10)
     out.add(spark.createDataFrame(posts(0, 120), SCHEMA).coalesce(1), name="one")
     out.add(spark.createDataFrame(posts(120, 200) + EXTRA, SCHEMA).coalesce(1), name="two")
     out.add(spark.createDataFrame(posts(0, 120), SCHEMA), name="one")     # a repeated batch

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from themeflow import schemas as S
 from themeflow.operators.browse import display_rows, listing_order, parse_range_selection
 from themeflow.operators.filters import status_filter
-from themeflow.sources.tables import VersionedTable
+from themeflow.sources.tables import VersionedTable, file_paths
 
 _SHOWN = ["id", "status", "created_utc", "snippet", "tag_display"]
 
@@ -88,7 +88,8 @@ class StoredListing:
         if not chosen:
             return self.spark.createDataFrame([], "id string, status string, created_utc double, snippet string, "
                                                   "tag_display string, row_index long")
-        rows = (self.spark.read.option("basePath", chosen[0]["folder"]).parquet(*[r["file"] for r in chosen])
+        files = file_paths(self.spark, [r["file"] for r in chosen])
+        rows = (self.spark.read.option("basePath", chosen[0]["folder"]).parquet(*files)
                 .withColumn("file", F.col("_metadata.file_path")))
         before = self.spark.createDataFrame([(r["file"], r["before"]) for r in chosen], "file string, before long")
         # one small file per window; its rows follow those of the files before it

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeflow.operators.filters import parse_search, search_expression
-from themeflow.sources.tables import VersionedTable
+from themeflow.sources.tables import VersionedTable, file_paths
 
 GRAM = 3
 
@@ -117,7 +117,7 @@ class TextIndex:
         found = self.candidates(expression)
         if found is None:
             return search_expression(every, expression, self.fields)
-        files = [r["file"] for r in found.select("file").distinct().collect()]
+        files = file_paths(self.spark, [r["file"] for r in found.select("file").distinct().collect()])
         if not files:
             return every.limit(0)
         return search_expression(self.spark.read.schema(every.schema).parquet(*files), expression, self.fields)

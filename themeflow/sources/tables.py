@@ -36,6 +36,13 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def file_paths(spark: SparkSession, uris: list[str]) -> list[str]:
+    """Paths to read for what ``_metadata.file_path`` names, which are URIs
+    (a blank in a folder's name is ``%20`` there)."""
+    jvm = spark.sparkContext._jvm
+    return [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(u)).toString() for u in uris]
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
