@@ -43,6 +43,10 @@ def file_paths(spark: SparkSession, uris: list[str]) -> list[str]:
     return [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(u)).toString() for u in uris]
 
 
+#: Tasks that a bucket's rows are dealt over when they are written.
+PARTS = 4
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -163,11 +167,16 @@ class BucketedTable(VersionedTable):
     def _touched(self, rows: DataFrame, buckets: int) -> set[int]:
         return {r[0] for r in rows.select(self._bucket(buckets)).distinct().collect()}
 
-    def _put(self, df: DataFrame, buckets: int) -> dict[int, str]:
-        """Write ``df`` by bucket into a new folder."""
+    def _dealt(self, df: DataFrame, buckets: int) -> DataFrame:
+        """Rows by bucket, a large bucket in ``PARTS`` tasks by its keys."""
+        h = F.xxhash64(*self.keys)
+        return (df.withColumns({"__bucket": self._bucket(buckets), "__part": F.pmod(F.shiftright(h, 32), F.lit(PARTS)).cast("int")})
+                .repartition("__bucket", "__part"))
+
+    def _put(self, dealt: DataFrame) -> dict[int, str]:
+        """Write dealt rows by bucket into a new folder."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        (df.withColumn("__bucket", self._bucket(buckets)).repartition("__bucket")
-         .write.partitionBy("__bucket").parquet(folder))
+        dealt.drop("__part").write.partitionBy("__bucket").parquet(folder)
         fs, p, _ = _fs(self.spark, folder)
         return {int(st.getPath().getName().split("=")[1]): f"{folder}/{st.getPath().getName()}"
                 for st in fs.listStatus(p) if st.isDirectory() and "=" in st.getPath().getName()}
@@ -186,7 +195,7 @@ class BucketedTable(VersionedTable):
             return next(v for v, n in committed.items() if n == name)
         listed = self._listed()
         buckets = listed[0]["buckets"] if listed else self._buckets
-        return self._commit(self._put(df, buckets), df.schema.json(), buckets, version, name)
+        return self._commit(self._put(self._dealt(df, buckets)), df.schema.json(), buckets, version, name)
 
     def merge(self, updates: DataFrame, keys: list[str] | None = None, name: str | None = None,
               skip_existing: bool = False) -> int:
@@ -204,7 +213,12 @@ class BucketedTable(VersionedTable):
         updates = materialize(updates, "merge")
         touched = self._touched(updates, buckets)
         base = self._open([f for b, f in folders.items() if b in touched], schema)
-        new = self._put(_merged(base, updates.select(*base.columns), self.keys, skip_existing), buckets)
+        # the rows are dealt by bucket once; the row of each key that stands is found there
+        from themeflow.operators.state import first_of_dealt, stored_and_new
+        rows = [base, updates.select(*base.columns).dropDuplicates(self.keys)] if skip_existing else [base, updates]
+        both, order = stored_and_new(*(reversed(rows) if skip_existing else rows), self.keys)
+        stands = first_of_dealt(self._dealt(both, buckets), ["__bucket", "__part", *self.keys], order)
+        new = self._put(stands.drop("__new", "__seq"))
         return self._commit(folders | new, schema, buckets, None, name)
 
 
