@@ -1,8 +1,12 @@
+import os
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from themeflow.llm import interpolated_lm as L
+from themeflow.llm import stored
 from themeflow.llm.packed import pack, unpack
 
 TINY = L.LmSettings(chunk_bytes=1 << 14, bucket_keys=3000)
@@ -69,6 +73,34 @@ def test_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert L.score_documents(no_docs).count() == 0
 
 
+def test_shuffles_go_with_their_query(spark, monkeypatch):
+    """Without any garbage collection the shuffles of both stored steps are
+    gone when the weights are learned; three small sums may be left."""
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def shuffles():
+        names = [f for top in folders for _, _, files in os.walk(top) for f in files]
+        return {f.split("_")[1] for f in names if f.startswith("shuffle_")}
+
+    before, left, learn = shuffles(), [], L.learn_weights
+
+    def counted(cells, s):
+        for _ in range(50):
+            left.append(len(shuffles() - before))
+            if left[-1] <= 3:
+                break
+            time.sleep(0.2)
+        return learn(cells, s)
+
+    monkeypatch.setattr(L, "learn_weights", counted)
+    monkeypatch.setattr(L, "free_shuffles", lambda spark: None)
+    monkeypatch.setattr(stored, "free_shuffles", lambda spark: None)
+    df = spark.createDataFrame([(i, f"a b w{i % 50} v{i}") for i in range(400)], "doc_id long, text string")
+    assert L.score_documents(df, TINY).count() == 400
+    assert left[-1] <= 3
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_without_training_texts(spark):
     held = [i for i in range(60) if __import__("zlib").crc32(str(i).encode()) % 7 == 2][:3]
     df = spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")

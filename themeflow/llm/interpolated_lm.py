@@ -284,11 +284,11 @@ def score_documents(docs: DataFrame, s: LmSettings = LmSettings(), id_col: str =
     chunks = Stored(_chunks(docs, s), "lm-chunks")
     tokens = chunks.read().agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, -(-tokens // s.bucket_keys))
-    answers = Stored(_totals(chunks.read(), buckets, s), "lm-totals")
+    answers = Stored(_totals(chunks.read(), buckets, s), "lm-totals", free=True)
     free_shuffles(docs.sparkSession)
     known = answers.read().filter("chunk is null and kind = 1").agg(F.sum("n_distinct"), F.sum("n_total")).first()
     v, n = int(known[0] or 0), int(known[1] or 0)
-    resolved = Stored(_resolve(chunks.read(), answers.read()), "lm-resolved")
+    resolved = Stored(_resolve(chunks.read(), answers.read()), "lm-resolved", free=True)
     chunks.drop()
     answers.drop()
     weights = learn_weights(_histogram(resolved.read(), n, v, s).toArrow(), s)
