@@ -174,9 +174,12 @@ class BucketedTable(VersionedTable):
                 .repartition("__bucket", "__part"))
 
     def _put(self, dealt: DataFrame) -> dict[int, str]:
-        """Write dealt rows by bucket into a new folder."""
+        """Write dealt rows by bucket into a new folder. Their shuffle is as
+        large as the table, so its files go at once."""
+        from themeflow.session import shuffles_freed
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        dealt.drop("__part").write.partitionBy("__bucket").parquet(folder)
+        with shuffles_freed(self.spark):
+            dealt.drop("__part").write.option("compression", "zstd").partitionBy("__bucket").parquet(folder)
         fs, p, _ = _fs(self.spark, folder)
         return {int(st.getPath().getName().split("=")[1]): f"{folder}/{st.getPath().getName()}"
                 for st in fs.listStatus(p) if st.isDirectory() and "=" in st.getPath().getName()}
@@ -201,7 +204,7 @@ class BucketedTable(VersionedTable):
               skip_existing: bool = False) -> int:
         """Insert or overwrite rows by key; only buckets with such rows are
         written. ``updates`` is stored first, so it is computed once."""
-        from themeflow.session import materialize
+        from themeflow.session import materialize, shuffles_freed
         if keys not in (None, self.keys):
             raise ValueError(f"the table's keys are {self.keys}")
         if name and self.holds(name):
@@ -210,7 +213,8 @@ class BucketedTable(VersionedTable):
         if not listed:
             return self.write(updates.dropDuplicates(self.keys), name=name)
         schema, buckets, folders = listed[0]["schema"], listed[0]["buckets"], self.folders()
-        updates = materialize(updates, "merge")
+        with shuffles_freed(self.spark):
+            updates = materialize(updates, "merge")
         touched = self._touched(updates, buckets)
         base = self._open([f for b, f in folders.items() if b in touched], schema)
         # the rows are dealt by bucket once; the row of each key that stands is found there
